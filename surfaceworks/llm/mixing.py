@@ -41,7 +41,7 @@ def letter_share(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
-    """From (source, source_size): also target, the fixed point of sharing by weight under the caps.
+    """To (source, source_size, ...) adds target, the fixed point of sharing by weight under the caps.
 
     One row per source. A source that reaches its cap does so before all with a larger cap per
     weight, so the capped ones are a prefix in that order and running sums find the level at which
@@ -58,9 +58,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     free = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0))
     out = out.withColumn("level", left / free)
     # the first source in this order whose cap is above the level, and all behind it, share by weight
-    level = F.min(F.when(F.col("ratio") > F.col("level"), F.struct("ratio", "source", "level"))).over(whole)
+    out = out.withColumn("place", F.row_number().over(Window.orderBy("ratio", F.col("source").asc_nulls_last())))
+    level = F.min(F.when(F.col("ratio") > F.col("level"), F.struct("place", "level"))).over(whole)
     return out.withColumn("at", level["level"]).select(
-        "source", "source_size", F.when(F.col("at").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("at"))).alias("target")
+        *sizes.columns, F.when(F.col("at").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("at"))).alias("target")
     )
 
 
@@ -87,8 +88,7 @@ def plan(
     stash = Stash(spark, "mix")
     slim = stash.put(slim)
     per_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    goal = targets(per_source.select("source", "source_size"), weights, share, most).withColumnRenamed("source", "s")
-    goal = per_source.withColumnRenamed("source", "s2").join(goal, F.col("s2").eqNullSafe(F.col("s"))).select("s", goal.source_size, "target", F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets"))
+    goal = targets(per_source, weights, share, most).select(F.col("source").alias("s"), "source_size", "target", F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets"))
     goal = stash.put(goal)
     rows = slim.join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # ascending in the key; even for keys of equal quality
