@@ -1,10 +1,10 @@
 """Token ids in Arrow stream files of equal-length sequences and masks.
 
 A file holds record batches of ``ROWS`` rows (the last may have fewer), each row a fixed-size list
-of ids and one of mask bytes, so a reader that maps the file finds any sequence by arithmetic and
-copies nothing. Documents follow each other without gaps in one file and may span rows; the mask
-says what a slot holds: 0 padding (the end of a file only), 1 an id, 2 the last id of a document.
-Beside each file lies an index, an Arrow stream file of (doc_id, start, n_tokens).
+of ids and one of mask bits, so a reader that maps the file finds any sequence by arithmetic and
+copies no ids. Documents follow each other without gaps in one file and may span rows; the mask
+is false for padding, which only the end of a file has. Ids take 16 bits if the vocabulary allows
+it, else 32. Beside each file lies an index, an Arrow stream file of (doc_id, start, n_tokens).
 """
 
 from __future__ import annotations
@@ -24,49 +24,47 @@ from .packing import END_ID, SEQUENCE, TOKENIZER
 #: Sequences in a record batch.
 ROWS = 64
 
-PAD, TOKEN, LAST = 0, 1, 2
 
-
-def file_schema(length: int) -> pa.Schema:
-    return pa.schema([("input_ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def file_schema(length: int, vocabulary: int) -> pa.Schema:
+    ids = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
+    return pa.schema([("input_ids", pa.list_(ids, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
 class _Writer:
-    """Cuts a stream of ids and mask bytes into rows and writes whole batches of them."""
+    """Cuts a stream of ids into rows and writes whole batches of them."""
 
-    def __init__(self, sink, length: int):
-        self.schema, self.length = file_schema(length), length
+    def __init__(self, sink, length: int, vocabulary: int):
+        self.schema, self.length = file_schema(length, vocabulary), length
+        self.kind = self.schema.field(0).type.value_type
         self.out = pa.ipc.new_stream(sink, self.schema)
         self.ids: list[np.ndarray] = []
-        self.mask: list[np.ndarray] = []
         self.held = self.rows = 0
 
-    def add(self, ids: np.ndarray, mask: np.ndarray) -> None:
+    def add(self, ids: np.ndarray) -> None:
         self.ids.append(ids)
-        self.mask.append(mask)
         self.held += len(ids)
         full = ROWS * self.length
         if self.held >= full:
-            ids, mask = np.concatenate(self.ids), np.concatenate(self.mask)
-            at = 0
+            ids, at = np.concatenate(self.ids), 0
             while at + full <= len(ids):
-                self._batch(ids[at : at + full], mask[at : at + full])
+                self._batch(ids[at : at + full], full)
                 at += full
-            self.ids, self.mask, self.held = [ids[at:]], [mask[at:]], len(ids) - at
+            self.ids, self.held = [ids[at:].copy()], len(ids) - at
 
-    def _batch(self, ids: np.ndarray, mask: np.ndarray) -> None:
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x, kind), self.length) for x, kind in ((ids, pa.uint32()), (mask, pa.uint8()))]
+    def _batch(self, ids: np.ndarray, n: int) -> None:
+        """n of the ids are no padding."""
+        values = pa.array(ids.astype(self.kind.to_pandas_dtype(), copy=False), self.kind), pa.array(np.arange(len(ids)) < n)
+        lists = [pa.FixedSizeListArray.from_arrays(x, self.length) for x in values]
         self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
         self.rows += len(ids) // self.length
 
     def close(self) -> None:
         if self.held:
-            ids, mask = np.concatenate(self.ids), np.concatenate(self.mask)
-            short = -len(ids) % self.length
-            self._batch(np.concatenate((ids, np.zeros(short, ids.dtype))), np.concatenate((mask, np.zeros(short, mask.dtype))))
+            ids = np.concatenate(self.ids)
+            self._batch(np.concatenate((ids, np.zeros(-len(ids) % self.length, ids.dtype))), len(ids))
         self.out.close()
 
 
@@ -95,16 +93,14 @@ def write(
         fs.create_dir(root, recursive=True)
         n_docs = n_tokens = 0
         with fs.open_output_stream(f"{root}/{name}.arrow") as sink, fs.open_output_stream(f"{root}/{name}.index.arrow") as index_sink:
-            writer, index = _Writer(sink, length), pa.ipc.new_stream(index_sink, INDEX)
+            writer, index = _Writer(sink, length, encoder(tokenizer).size), pa.ipc.new_stream(index_sink, INDEX)
             batch = first_batch
             while batch is not None:
                 texts = batch.column(1)
                 for first, n in slices(texts):
                     ids, counts = encoder(tokenizer).encode(texts.slice(first, n), end_id)
                     ends = np.cumsum(counts)
-                    mask = np.full(len(ids), TOKEN, np.uint8)
-                    mask[ends - 1] = LAST
-                    writer.add(ids, mask)
+                    writer.add(ids)
                     columns = [batch.column(0).slice(first, n), pa.array(n_tokens + ends - counts), pa.array(counts)]
                     index.write_batch(pa.RecordBatch.from_arrays(columns, schema=INDEX))
                     n_docs += n
@@ -151,8 +147,8 @@ class SequenceFile:
 def read_documents(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Per document, from the files alone: doc_id, start (global), n_tokens, ids_crc32.
 
-    The files are read batch by batch, one task for each; a document's length is taken from the
-    mask, and must agree with the index. Runs a job to count the files.
+    The files are read batch by batch, one task for each; the mask's
+    count must agree with the index. Runs a job to count the files.
     """
 
     def run(batches):
@@ -160,26 +156,25 @@ def read_documents(spark: SparkSession, manifest: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 stream = pa.ipc.open_stream(_source(row["path"]))
                 index = pa.ipc.open_stream(_source(row["index_path"]))
-                ids, mask, at = np.zeros(0, np.uint32), np.zeros(0, np.uint8), 0
+                ids, at, unmasked = None, 0, 0
                 for part in index:
                     starts, counts = part.column(1).to_numpy(), part.column(2).to_numpy()
-                    need = int(starts[-1] + counts[-1]) - at if len(starts) else 0
-                    more_ids, more_mask = [ids], [mask]
-                    have = len(ids)
+                    need = int(starts[-1] + counts[-1]) - at
+                    more = [] if ids is None else [ids]
+                    have = sum(map(len, more))
                     while have < need:
                         rows = stream.read_next_batch()
-                        more_ids.append(rows.column(0).flatten().to_numpy(zero_copy_only=True))
-                        more_mask.append(rows.column(1).flatten().to_numpy(zero_copy_only=True))
-                        have += len(more_ids[-1])
-                    ids, mask = np.concatenate(more_ids), np.concatenate(more_mask)
-                    ends = np.flatnonzero(mask[:need] == LAST) + 1
-                    if not np.array_equal(ends, starts + counts - at):
-                        raise ValueError(f"the mask and the index of {row['path']} differ")
-                    sums = [crc(ids[e - c : e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+                        more.append(rows.column(0).flatten().to_numpy(zero_copy_only=True))
+                        unmasked += rows.column(1).flatten().true_count
+                        have += len(more[-1])
+                    ids = np.concatenate(more)
+                    sums = [crc(ids[s : s + n]) for s, n in zip((starts - at).tolist(), counts.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0), pa.array(starts + row["n_before"]), part.column(2), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
                     )
-                    ids, mask, at = ids[need:], mask[need:], at + need
+                    ids, at = ids[need:].copy(), at + need
+                if unmasked != at:
+                    raise ValueError(f"the mask and the index of {row['path']} differ")
 
     files = manifest.select("path", "index_path", "n_before")
     n = max(1, manifest.count())
