@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, token_files
+from . import mixing, packing, pii, rules, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan(_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -24,5 +28,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, token_files.write(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op4_packing": op4_packing, "op5_token_files": op5_token_files}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    learned = rules.fit(docs, _table(spark, sf_dir, "labels"))
+    return rules.apply(docs, learned).select("doc_id", *rules.STATS, "base_failed", "kept", "rule")
+
+
+QUERIES = {
+    "op1_personal_data": op1_personal_data, "op7_quality_rules": op7_quality_rules, "op3_mixing": op3_mixing, "op4_packing": op4_packing, "op5_token_files": op5_token_files}
 ORACLES: dict[str, str] = {}
