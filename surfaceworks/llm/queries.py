@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, rules, token_files
+from . import mixing, ngram_join, packing, pii, rules, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply(docs, learned).select("doc_id", *rules.STATS, "base_failed", "kept", "rule")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 QUERIES = {
+    "op9_ngram_join": op9_ngram_join,
     "op1_personal_data": op1_personal_data, "op7_quality_rules": op7_quality_rules, "op3_mixing": op3_mixing, "op4_packing": op4_packing, "op5_token_files": op5_token_files}
 ORACLES: dict[str, str] = {}
