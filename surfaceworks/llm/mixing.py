@@ -18,7 +18,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: What all sources share, in times all sizes; the most a source gives, in times its own size.
 SHARE, MOST_EPOCHS = 1.5, 2.0
 #: About so many documents of a source are sorted in one task.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 SEED = "mix-1"
 
 
