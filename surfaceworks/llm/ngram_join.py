@@ -43,8 +43,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, words: int, lower: bool) -> list[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its shingles; a text of fewer words is one shingle."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    distinct, index, bounds = chunked_words(pc.ascii_lower(texts) if lower else texts)
+    # lower-cased before any cast: pyarrow's ascii_lower misreads a slice that was cast to large_string
+    distinct, index, bounds = chunked_words(pc.ascii_lower(pc.fill_null(texts, "")) if lower else texts)
     hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct))
     empty = distinct.index("") if "" in distinct else -1
     keep = index != empty
