@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, packing, pii, rules, token_files
+from . import mixing, ngram_join, packing, pii, quality, rules, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,18 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, token_files.write(_table(spark, sf_dir, "documents")))
 
 
+def _remainder(n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _table(spark, sf_dir, "documents"), _remainder(4) == 2
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), usable=~held)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     learned = rules.fit(docs, _table(spark, sf_dir, "labels"))
@@ -38,7 +51,15 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _table(spark, sf_dir, "documents"), _remainder(5) == 0
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), usable=~held)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op6_toxicity": op6_toxicity, "op10_quality": op10_quality,
     "op9_ngram_join": op9_ngram_join,
     "op1_personal_data": op1_personal_data, "op7_quality_rules": op7_quality_rules, "op3_mixing": op3_mixing, "op4_packing": op4_packing, "op5_token_files": op5_token_files}
 ORACLES: dict[str, str] = {}
