@@ -1,7 +1,68 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: from raw documents to packed sequences.
+
+Each stage gets the documents that the one before it kept and gives back documents with the same
+columns; the last gives the boundary records of packed sequences. ``run`` writes what a stage gives
+to the shared folder and reads it again, so a lost executor never costs an earlier stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from surfaceworks.llm import lines, mixing, ngram_join, packing, quality
+from surfaceworks.llm.base import Stash
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learned from the labelled ones outside its held-out fifth, accepts."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return quality.keep_good(docs, quality.fit(docs, labels, usable=~held))
+
+
+def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that more than a tenth of a source's documents hold go; a document that is mostly such lines is a copy and stays whole for the next stage."""
+    kept = lines.drop_boilerplate(docs, F.col("source"), most_removed=0.5)
+    return kept.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose sets of five-word shingles reach a Jaccard similarity of 0.8, directly or by links, the one with the smallest id stays."""
+    groups = Stash(spark, "groups").put(ngram_join.join(docs, words=5, num=80, den=100).select("doc_id", "component_id"))
+    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    return left
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in the proportions of their targets: whole copies, then part of one more."""
+    out = mixing.mix(docs)
+    return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 token ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("line dedup", without_boilerplate),
+    ("n-gram Jaccard join", one_of_each),
+    ("mixing", mixed),
+    ("packing", packed),
+]
+
+#: A learned classifier and token ids can't be expressed in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stash = Stash(spark, "pipeline")
+    for _, stage in STAGES:
+        docs = stash.put(stage(spark, docs, sf_dir))
+    return docs

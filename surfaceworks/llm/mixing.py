@@ -33,6 +33,10 @@ def uniform(*of: Column) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(2**52))
 
 
+def fingerprint(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def letter_share(text: Column) -> Column:
     """Quality weight of a text: the share of its characters that are letters or white space, from 0.05 to 1."""
     odd = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\p{L}\s]+", ""))
@@ -67,7 +71,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 def plan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None,
-    weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS,
+    weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, with_print: bool = False,
 ) -> DataFrame:
     """How many words of each document the mix takes. Runs a job.
 
@@ -83,7 +87,7 @@ def plan(
     weight = letter_share(text) if quality is None else quality
     slim = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(text).alias("size"),
-        (-F.log(uniform(F.col(id_col), F.crc32(F.coalesce(text, F.lit("")).cast("binary")))) / weight).alias("key"),
+        fingerprint(text).alias("print"), (-F.log(uniform(F.col(id_col), fingerprint(text))) / weight).alias("key"),
     )
     stash = Stash(spark, "mix")
     slim = stash.put(slim)
@@ -105,4 +109,30 @@ def plan(
     rows = rows.withColumn("epochs", epochs)
     rest = goal_words - F.col("epochs") * F.col("source_size")
     rows = rows.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before"))).cast("long"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", "extra", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+    more = ["print"] if with_print else []
+    return rows.select("doc_id", *more, "source", "size", "source_size", "target", "epochs", "extra", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+
+
+def _first_words(text: Column, n: Column) -> Column:
+    """A text up to the end of its n-th word."""
+    found, between = F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), n.cast("int")), F.slice(F.split(text, WORD, -1), F.lit(1), n.cast("int"))
+    length = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
+    return F.substring(text, F.lit(1), length(found) + length(between))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mixed corpus: docs' rows as often as ``plan`` takes them, with docs' columns. Runs jobs.
+
+    A document of which the mix takes part of a copy gives its first words. A text without words is
+    not taken. The plan finds its rows by id and text; rows that repeat both are taken alike.
+    """
+    text = F.col(text_col)
+    taken = plan(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")), **how, with_print=True)
+    taken = taken.groupBy("doc_id", "print").agg(F.max("size").alias("_size"), F.max("epochs").alias("_epochs"), F.max("extra").alias("_extra"))
+    taken = taken.withColumnRenamed("doc_id", "_id").withColumnRenamed("print", "_print").where("_size > 0 and _epochs + _extra > 0")
+    rows = docs.withColumn("_own", fingerprint(text))
+    rows = rows.join(taken, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_print")))
+    parts = F.concat(F.array_repeat(F.lit(False), F.col("_epochs").cast("int")), F.when(F.col("_extra") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+    rows = rows.withColumn("_last", F.explode(parts))
+    cut = F.when(F.col("_last") & (F.col("_extra") < F.col("_size")), _first_words(text, F.col("_extra"))).otherwise(text)
+    return rows.select(*[cut.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, packing, pii, quality, rules, token_files, toxicity
+from . import lines, mixing, ngram_join, packing, pii, quality, rules, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,35 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply(docs, learned).select("doc_id", *rules.STATS, "base_failed", "kept", "rule")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", lines.html_lines(F.col("html")).alias("text"))
+    kept = lines.drop_boilerplate(pages, lines.host_of(F.col("url")))
+    return kept.select("page_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH texts AS (
+  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
+    string_split(coalesce(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+      '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g'),
+      '(?i)</?(p|div|li|ul|ol|h[1-6]|nav|article|section|header|footer|aside|main|table|br|tr|td|th|title|body|html|head)\b[^>]*>', chr(10), 'g'),
+      '<[^>]*>', '', 'g'), '[ \t]+', ' ', 'g'), ''), chr(10)) AS lines
+  FROM pages),
+seen AS (SELECT DISTINCT page_id, host, trim(unnest(lines)) AS line FROM texts),
+totals AS (SELECT host, count(*) AS total FROM texts GROUP BY host),
+common AS (
+  SELECT s.host, s.line FROM seen s JOIN totals t ON s.host = t.host WHERE s.line <> ''
+  GROUP BY s.host, s.line, t.total HAVING count(*) >= 5 AND count(*) > CAST(0.1 AS DOUBLE) * t.total),
+listed AS (SELECT host, list(line) AS common FROM common GROUP BY host),
+cut AS (
+  SELECT page_id, lines, list_filter(lines, lambda x: trim(x) = '' OR NOT list_contains(coalesce(common, []), trim(x))) AS kept
+  FROM texts LEFT JOIN listed ON texts.host = listed.host)
+SELECT page_id, CAST(len(list_filter(lines, lambda x: trim(x) <> '')) AS BIGINT) AS n_lines,
+  CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256
+FROM cut
+"""
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
@@ -59,7 +88,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op6_toxicity": op6_toxicity, "op10_quality": op10_quality,
+    "op6_toxicity": op6_toxicity, "op8_line_dedup": op8_line_dedup, "op10_quality": op10_quality,
     "op9_ngram_join": op9_ngram_join,
     "op1_personal_data": op1_personal_data, "op7_quality_rules": op7_quality_rules, "op3_mixing": op3_mixing, "op4_packing": op4_packing, "op5_token_files": op5_token_files}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}
