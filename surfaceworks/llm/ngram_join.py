@@ -11,7 +11,9 @@ Within tiles, bitmaps of the hashed shingles bound the overlap from above: a bit
 has stands for a shingle that only this set has. Pairs that pass are compared exactly, as sorted
 arrays. Equal sets are one node from the start. Each set is compared with one other of its tiles
 first, and the links found make components; only pairs of a tile in different components follow. So
-a group of near copies costs about one comparison for each member and not one for each pair.
+a group of near copies costs about one comparison for each member and not one for each pair. A tile
+that still holds many components, as parts from a passage that many texts share do, is dealt again
+by parts under another seed: a similar pair in it has an equal part there too.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .base import Stash, chunked_words, components, slices
 
 BITS = 1024
 SEEDS = 4
+#: A tile with more rows than this outside its largest component is dealt again, if that leaves fewer pairs.
+CROWDED = 512
 #: The largest size in a band, in times the smallest.
 BAND = 1.5
 
@@ -87,15 +91,15 @@ def _edges(upto: int) -> list[int]:
     return _EDGES
 
 
-def tile_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
+def tile_keys(shingles: np.ndarray, num: int, den: int, seeds: tuple[int, ...] = tuple(range(SEEDS))) -> np.ndarray:
     """Keys of the tiles that a set belongs to; none if only an equal set can be similar."""
     out = []
     for band, most in bands(len(shingles), num, den):
         if not most:
             continue
         parts = most + 1
-        for seed in range(SEEDS):
-            salt = np.uint64((band * SEEDS + seed + 1) * 0x2545F4914F6CDD1D & (2**64 - 1))
+        for seed in seeds:
+            salt = np.uint64((band * 64 + seed + 1) * 0x2545F4914F6CDD1D & (2**64 - 1))
             dealt = mix(shingles ^ salt)
             part = (dealt % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -103,7 +107,7 @@ def tile_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
             first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             content = np.add.reduceat(mix(dealt[order] ^ _K[3]), first)
             full = part[first]
-            if len(full) < parts and seed == SEEDS - 1:  # empty parts are tiles only with the last seed
+            if len(full) < parts and seed == seeds[-1]:  # empty parts are tiles only with the last seed
                 sums = np.zeros(parts, np.uint64)
                 sums[full] = content
                 full, content = np.arange(parts), sums
@@ -170,6 +174,24 @@ def _exact(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _tiles(rows: DataFrame) -> DataFrame:
+    """(key, members, most, main): the rows of each tile, those of its largest component, and which that is."""
+    kinds = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    return kinds.groupBy("key").agg(F.sum("n").alias("members"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"))
+
+
+def _redealt(docs: DataFrame, words: int, num: int, den: int, lower: bool, seed: int) -> DataFrame:
+    """(id, keys) of docs (id, text) under another seed."""
+
+    def run(batches):
+        for batch in batches:
+            for first, n in slices(batch.column(1)):
+                keys = [tile_keys(s, num, den, (seed,)) for s in shingle_sets(batch.column(1).slice(first, n), words, lower)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64()))], ["id", "keys"])
+
+    return docs.mapInArrow(run, "id long, keys array<long>")
+
+
 def _can_link(num: int, den: int):
     """Whether a pair with signatures a_* and b_* can reach the threshold, by sizes and bits."""
     only_a = only_b = F.lit(0)
@@ -181,7 +203,7 @@ def _can_link(num: int, den: int):
     return (F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num) & (most * den >= (F.col("a_n") + F.col("b_n") - most) * num)
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90, den: int = 100, lower: bool = True) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90, den: int = 100, lower: bool = True, crowded: int = CROWDED) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id. Runs jobs.
 
     Two rows link when den * |intersection| >= num * |union| of their sets; component_id is the
@@ -229,12 +251,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     of_tile = shared.select("key", "id").join(so_far, "id", "left").select("key", "id", label)
     open_tiles = of_tile.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     left = stash.put(of_tile.join(open_tiles, "key", "left_semi").join(maps, "id"))
-    kinds = left.groupBy("key", "component").agg(F.count("*").alias("members"))
-    ka, kb = (kinds.select("key", F.col("component").alias(f"c{x}")) for x in "ab")
-    cross = ka.join(kb, "key").where("ca < cb")
-    a = left.select(F.col("key"), F.col("component").alias("ca"), F.col("id").alias("a"), F.col("n").alias("a_n"), *[F.col(x).alias(f"a_{x}") for x in bits])
-    b = left.select(F.col("key"), F.col("component").alias("cb"), F.col("id").alias("b"), F.col("n").alias("b_n"), *[F.col(x).alias(f"b_{x}") for x in bits])
-    more = cross.join(a, ["key", "ca"]).join(b, ["key", "cb"]).where(_can_link(num, den)).select("a", "b").distinct()
+    crowd = stash.put(_tiles(left).where(F.col("members") - F.col("most") > crowded))
+    pairs_now = crowd.agg(F.sum(F.col("members") * (F.col("members") - F.col("most")))).first()[0]
+    if pairs_now:
+        dense = left.join(crowd.select("key"), "key", "left_semi")
+        dealt = _redealt(texts.join(dense.select("id").distinct(), "id", "left_semi"), words, num, den, lower, SEEDS)
+        dense = stash.put(dense.select("key", "id", "component").join(dealt, "id").select(F.explode("keys").alias("part"), "key", "id", "component").select(F.xxhash64("key", "part").alias("key"), "id", "component"))
+        again = _tiles(dense).where("members > most")
+        if (again.agg(F.sum(F.col("members") * (F.col("members") - F.col("most")))).first()[0] or 0) < pairs_now:
+            dense = dense.join(again.select("key"), "key", "left_semi").join(maps, "id").select(*left.columns)
+            left = stash.put(left.join(crowd.select("key"), "key", "left_anti").unionByName(dense))
+    # every pair of different components has one side outside the tile's largest component
+    left = left.join(_tiles(left).select("key", "main"), "key")
+    one = left.where("component <> main").select("key", "main", F.col("component").alias("ca"), *[F.col(c).alias("a" if c == "id" else f"a_{c}") for c in ("id", "n", *bits)])
+    two = left.select("key", F.col("component").alias("cb"), *[F.col(c).alias("b" if c == "id" else f"b_{c}") for c in ("id", "n", *bits)])
+    once = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
+    more = one.join(two, (one["key"] == two["key"]) & once & _can_link(num, den)).select("a", "b").distinct()
     links = links.unionByName(linked(more)).unionByName(copies.select(F.col("rep").alias("a"), F.col("id").alias("b")))
     found = stash.put(components(spark, links, stash))
     out = rows.select("id", F.col("n").alias("n_shingles")).join(found, "id", "left")
