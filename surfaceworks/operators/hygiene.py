@@ -29,11 +29,12 @@ def naming(tools: DataFrame) -> DataFrame:
 
 
 def token_sets(tools: DataFrame) -> DataFrame:
-    return tools.select("server", "tool", "name", F.array_distinct(text.tokens(F.coalesce("descriptor", F.lit("")))).alias("set")).withColumn("n", F.size("set")).where("n > 0")
+    """(server, tool, name, set, n): distinct content words of the descriptor; tools without any are similar to none."""
+    return tools.select("server", "tool", "name", F.array_distinct(text.content_words(F.coalesce("descriptor", F.lit("")))).alias("set")).withColumn("n", F.size("set")).where("n > 0")
 
 
 def similar(tools: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(server, a, b, similarity): pairs of a server's tools whose token sets reach a Jaccard of ``least``.
+    """(server, a, b, similarity): pairs of a server's tools whose sets of content words reach a Jaccard of ``least``.
 
     Two sets that similar share one of their first n - ceil(least * n) + 1 tokens in ascending order
     of frequency within the server, so pairs are made by those tokens alone; sizes are compared in

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import AUTH, REFUSALS, TIMEOUT, UNREACHABLE, WHEN_TO_USE
-from ..functions import figures, text
+from ..functions import figures, ordered_json, text
 from ..operators import frames, hygiene, retrieval, stack, trials
 from . import bindings as b
 from .registry import query, table
@@ -55,7 +55,7 @@ def naming_clarity(spark, d):
     return hygiene.naming(p.unionByName(table(spark, d, "customer").select(F.col("c_mktsegment").alias("server"), F.col("c_name").alias("name"))))
 
 
-SIMILAR = f"""sets AS (SELECT server, tool, name, list_distinct({b.sql_tokens('descriptor')}) AS s FROM tools),
+SIMILAR = f"""sets AS (SELECT server, tool, name, list_distinct({b.sql_content('descriptor')}) AS s FROM tools),
 each AS (SELECT server, tool, len(s) AS n, unnest(s) AS token FROM sets),
 often AS (SELECT server, token, count(*) AS df FROM each GROUP BY ALL),
 placed AS (SELECT e.*, row_number() OVER (PARTITION BY e.server, tool ORDER BY df, e.token) AS k FROM each e JOIN often o ON e.server = o.server AND e.token = o.token),
@@ -361,14 +361,51 @@ def deps_normalise(spark, d):
     return table(spark, d, "part").select("p_partkey", text.package_name(F.replace("p_name", F.lit(" "), F.lit("._"))).alias("package"))
 
 
-@query("SELECT source AS server, sha256(string_agg(text, '' ORDER BY doc_id)) AS wire_sha256, count(*) AS pages FROM documents GROUP BY source")
+@query("SELECT source || '/' || (doc_id // 100) AS server, sha256(string_agg(text, '' ORDER BY doc_id)) AS wire_sha256, count(*) AS pages FROM documents GROUP BY 1")
 def wire_digest(spark, d):
+    # a digest needs its pages in one place; a surface has at most 200 pages, here 100 documents
+    server = F.concat_ws("/", F.col("source"), F.floor(F.col("doc_id") / 100).cast("string"))
     pages = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
     whole = F.array_join(F.transform(pages, lambda p: p["text"]), "")
-    return table(spark, d, "documents").groupBy(F.col("source").alias("server")).agg(F.sha2(whole, 256).alias("wire_sha256"), F.count("*").alias("pages"))
+    return table(spark, d, "documents").groupBy(server.alias("server")).agg(F.sha2(whole, 256).alias("wire_sha256"), F.count("*").alias("pages"))
 
 
 @query("SELECT s_suppkey, '?servers=' || replace(n_name, ' ', '+') || '%2C' || s_suppkey || '&mode=naive&model=claude' AS link FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def permalinks(spark, d):
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return s.select("s_suppkey", figures.permalink(F.array("n_name", F.col("s_suppkey").cast("string")), F.lit("naive"), F.lit("claude")).alias("link"))
+
+
+PARAMS_SQL = "SELECT event_id, '{' || chr(34) || 'event' || chr(34) || ':' || chr(34) || event_type || chr(34) || ',' || chr(34) || 'k' || chr(34) || ':' || json_extract_string(props, '$.k') || '}' AS params FROM events"
+
+
+@query(PARAMS_SQL)
+def params_canonical(spark, d):
+    raw = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "event": "'), F.col("event_type"), F.lit('"}'))
+    return table(spark, d, "events").select("event_id", ordered_json.params(raw).alias("params"))
+
+
+def _tool_json(spark, d):
+    """Parts as tools: a schema with a referenced definition, an enum and a nested object."""
+    schema = (
+        '{"type":"object","properties":{"size":{"$ref":"#/$defs/size"},"brand":{"type":"string","description":"%s"},"shape":{"type":"object","properties":{"kind":{"enum":["round","flat"]}}}},'
+        '"$defs":{"size":{"type":"integer","description":"Size, up to %d."}}}'
+    )
+    tool = '{"name":"part_%d","extra":1,"description":"Looks up a part by its name.","inputSchema":' + schema + "}"
+    return table(spark, d, "part").select("p_partkey", F.format_string(tool, F.col("p_partkey"), F.col("p_brand"), F.col("p_size")).alias("tool"))
+
+
+@query(
+    """SELECT p_partkey, replace('{%name%:%part_' || p_partkey || '%,%description%:%Looks up a part by its name.%,%inputSchema%:{%type%:%object%,%properties%:{%size%:{%type%:%integer%,%description%:%Size, up to ' || p_size
+  || '.%},%brand%:{%type%:%string%,%description%:%' || p_brand || '%},%shape%:{%type%:%object%,%properties%:{%kind%:{%enum%:[%round%,%flat%]}}}}}}', '%', chr(34)) AS canonical, 0 AS n_flags FROM part"""
+)
+def canonical_json(spark, d):
+    t = _tool_json(spark, d).select("p_partkey", ordered_json.read_tool(F.col("tool")).alias("t"))
+    return t.select("p_partkey", "t.canonical", F.size("t.flags").alias("n_flags"))
+
+
+@query("SELECT p_partkey, CAST(4 AS BIGINT) AS n, CAST(2 AS BIGINT) AS described, CAST(1 AS BIGINT) AS enums FROM part")
+def schema_walk(spark, d):
+    schema = ordered_json.read_tool(F.col("tool"))["input_schema"]
+    p = _tool_json(spark, d).select("p_partkey", F.explode(ordered_json.schema_properties(schema)).alias("p"))
+    return p.groupBy("p_partkey").agg(F.count("*").alias("n"), F.count_if("p.described").alias("described"), F.count_if(F.size("p.enum") > 0).alias("enums"))

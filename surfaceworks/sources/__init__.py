@@ -1 +1 @@
-"""See the modules."""
+"""Readers and writers of recorded surfaces, frame logs, manifests and published documents."""

@@ -1 +1 @@
-"""See the modules."""
+"""Frame logs as streams."""
