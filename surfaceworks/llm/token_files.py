@@ -131,7 +131,7 @@ def _source(uri: str):
 
 
 class SequenceFile:
-    """Random access to the sequences of one file: row i's ids and mask are views of the mapped file."""
+    """Random access to the sequences of one file: row i's ids are a view of the mapped file."""
 
     def __init__(self, uri: str):
         self.batches = pa.ipc.open_stream(_source(uri)).read_all().to_batches()
@@ -140,8 +140,9 @@ class SequenceFile:
         return sum(b.num_rows for b in self.batches)
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, mask) of sequence i; the ids are a view of the file, the mask bits become booleans."""
         batch, row = self.batches[i // ROWS], i % ROWS
-        return tuple(batch.column(k)[row].values.to_numpy(zero_copy_only=True) for k in (0, 1))
+        return batch.column(0)[row].values.to_numpy(zero_copy_only=True), batch.column(1)[row].values.to_numpy(zero_copy_only=False)
 
 
 def read_documents(spark: SparkSession, manifest: DataFrame) -> DataFrame:

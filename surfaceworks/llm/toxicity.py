@@ -88,7 +88,7 @@ def text_bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def learn(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 3, rate: float = 0.15, decay: float = 2e-5, seed: int = 3) -> tuple[np.ndarray, float]:
+def learn(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 4, rate: float = 0.5, decay: float = 2e-5, seed: int = 3) -> tuple[np.ndarray, float]:
     """(one number for each bucket, bias) after training table and softmax by AdaGrad, text by text."""
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.03, (BUCKETS, DIM))
