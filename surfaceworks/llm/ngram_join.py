@@ -1,11 +1,11 @@
 """N-gram Jaccard join: which documents share a given part of their word shingles.
 
 Size-banded tiles. Two sets of n and m shingles whose Jaccard similarity is at least t differ in at
-most d = (n + m)(1 - t)/(1 + t) shingles. Sizes fall into bands; a band deals every set into d + 1
-parts by a hash of the shingle, so of a similar pair at least one part is equal, and the hash of a
-part's content is the key of a tile that holds both (Arasu et al., 2006). No similar pair is missed.
-A part that is empty says nothing: a set that has one is dealt again with other seeds, and so is its
-partner if the part is empty there too.
+most d = (n + m)(1 - t)/(1 + t) shingles. Sizes fall into bands; a band deals every set into more
+than d parts by a hash of the shingle, so of a similar pair at least one part is equal, and the hash
+of a part's content is the key of a tile that holds both (Arasu et al., 2006). No similar pair is
+missed. An empty part says nothing: a band has more parts by as many as are likely to be empty, and
+a set with more empty ones than that is dealt again with another seed, as is a partner like it.
 
 Within tiles, bitmaps of the hashed shingles bound the overlap from above: a bit that only one set
 has stands for a shingle that only this set has. Pairs that pass are compared exactly, as sorted
@@ -18,6 +18,9 @@ by parts under another seed: a similar pair in it has an equal part there too.
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -72,15 +75,6 @@ def shingle_sets(texts: pa.Array, words: int, lower: bool) -> list[np.ndarray]:
     return out
 
 
-def bands(n: int, num: int, den: int) -> list[tuple[int, int]]:
-    """(band, most differences) for a set of n: its own band, and the next if a partner can be there."""
-    edges, b = _edges(n * 2), 0
-    b = int(np.searchsorted(edges, n, "right")) - 1
-    out = [b] + ([b + 1] if n * den >= num * edges[b + 1] else [])
-    # sizes in one band, or one in it and one just below
-    return [(x, 2 * (int(edges[x + 1]) - 1) * (den - num) // (den + num)) for x in out]
-
-
 _EDGES: list[int] = [1]
 
 
@@ -91,13 +85,36 @@ def _edges(upto: int) -> list[int]:
     return _EDGES
 
 
+@functools.cache
+def plan_of(band: int, num: int, den: int) -> tuple[int, int]:
+    """(most differences d, parts) of a band: d + 1 parts, and as many more as may be empty in its smallest sets."""
+    low, high = _EDGES[band], _EDGES[band + 1] - 1
+    most = 2 * high * (den - num) // (den + num)
+    parts = most + 1
+    for _ in range(8):
+        empty = parts * math.exp(-low * num / den / parts)
+        parts = most + 1 + math.ceil(empty + 2 * math.sqrt(empty))
+    return most, parts
+
+
+def bands(n: int, num: int, den: int) -> list[int]:
+    """Bands in which a set of n meets its partners: its own, and the next if a partner can be there."""
+    edges = _edges(n * 2)
+    b = int(np.searchsorted(edges, n, "right")) - 1
+    return [b] + ([b + 1] if n * den >= num * edges[b + 1] else [])
+
+
 def tile_keys(shingles: np.ndarray, num: int, den: int, seeds: tuple[int, ...] = tuple(range(SEEDS))) -> np.ndarray:
-    """Keys of the tiles that a set belongs to; none if only an equal set can be similar."""
+    """Keys of the tiles that a set belongs to; none if only an equal set can be similar.
+
+    Of k parts at least k - d are equal in a similar pair. If a set has fewer empty parts than that,
+    one of the equal ones isn't empty; otherwise it, and a partner as sparse, is dealt again.
+    """
     out = []
-    for band, most in bands(len(shingles), num, den):
+    for band in bands(len(shingles), num, den):
+        most, parts = plan_of(band, num, den)
         if not most:
             continue
-        parts = most + 1
         for seed in seeds:
             salt = np.uint64((band * 64 + seed + 1) * 0x2545F4914F6CDD1D & (2**64 - 1))
             dealt = mix(shingles ^ salt)
@@ -107,12 +124,13 @@ def tile_keys(shingles: np.ndarray, num: int, den: int, seeds: tuple[int, ...] =
             first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             content = np.add.reduceat(mix(dealt[order] ^ _K[3]), first)
             full = part[first]
-            if len(full) < parts and seed == seeds[-1]:  # empty parts are tiles only with the last seed
+            sparse = parts - len(full) >= parts - most
+            if sparse and seed == seeds[-1]:  # empty parts are tiles only with the last seed
                 sums = np.zeros(parts, np.uint64)
                 sums[full] = content
                 full, content = np.arange(parts), sums
             out.append(mix(mix(content ^ salt) ^ full.astype(np.uint64)))
-            if len(full) == parts:
+            if not sparse:
                 break
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
