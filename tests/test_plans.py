@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 def value(v):
     if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and math.isnan(v):
         return "null"
-    return f"{float(v):.8g}" if not isinstance(v, str | bool) and hasattr(v, "__float__") else str(v)
+    return f"{float(v):.8g}" if not isinstance(v, str) and hasattr(v, "__float__") else str(v)
 
 
 def rows(df):
