@@ -20,6 +20,19 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.dedup(_table(spark, sf_dir, "embeddings"))
 
 
+OP2_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= CAST(0.9 AS DOUBLE)),
+reach(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.root = l.a),
+lowest AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN lowest ON e.vec_id = id LEFT JOIN counted ON e.vec_id = a
+"""
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan(_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -95,4 +108,4 @@ QUERIES = {
     "op6_toxicity": op6_toxicity, "op8_line_dedup": op8_line_dedup, "op10_quality": op10_quality,
     "op9_ngram_join": op9_ngram_join,
     "op1_personal_data": op1_personal_data, "op2_embedding_dedup": op2_embedding_dedup, "op7_quality_rules": op7_quality_rules, "op3_mixing": op3_mixing, "op4_packing": op4_packing, "op5_token_files": op5_token_files}
-ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_embedding_dedup": OP2_SQL, "op8_line_dedup": OP8_SQL}
