@@ -5,6 +5,8 @@ Every function here is lazy unless its docstring says that it runs a job.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import struct
 import uuid
@@ -45,11 +47,20 @@ class Stash:
     """Tables cut out of the lineage: written once to the shared folder, read back from there.
 
     A lost executor costs a re-read, never a recomputation of what came before. ``drop`` removes a
-    table that nothing reads any more.
+    table that nothing reads any more; the rest goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.n = spark, new_dir(spark, label), 0
+        atexit.register(self._remove_all)
+
+    def _remove_all(self) -> None:
+        with contextlib.suppress(Exception):  # the JVM may have gone before
+            self._delete(self.root)
+
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def put(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         """Run df and give it back as a table; its path is in the attribute ``stash_path``."""
@@ -61,9 +72,7 @@ class Stash:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.stash_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(df.stash_path)
 
 
 # --------------------------------------------------------------------------- connected components
