@@ -26,7 +26,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 #: Rows in a slice of Arrow text that is worked on at once are bounded by this many bytes.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 
 
 # --------------------------------------------------------------------------- stashes
@@ -135,6 +135,7 @@ def slices(texts: pa.Array, bound: int = SLICE_BYTES):
         to = max(at + 1, int(np.searchsorted(ends, before + bound, "right")))
         yield at, to - at
         at = to
+    pa.default_memory_pool().release_unused()  # workers live on, and share their executor's memory
 
 
 def chunked_words(texts: pa.Array):
@@ -175,7 +176,7 @@ class ChunkEncoder:
     piece or chunk. A text that could hold an added token, or any other character, isn't cut.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -41,7 +41,7 @@ def shape(word: str) -> str:
 
 
 _known: dict[str, tuple[int, int]] = {"": (0, 0)}
-MOST_KNOWN = 300_000
+MOST_KNOWN = 60_000
 
 
 def _hash(word: str) -> tuple[int, int]:
