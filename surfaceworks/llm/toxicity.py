@@ -23,6 +23,7 @@ DIM = 4
 GRAMS = (3, 4, 5, 6)
 #: Labelled rows that the model is learned from, at most: those with the smallest hash of the id.
 MOST_ROWS = 8000
+STEPS = 24_000
 THRESHOLD = 0.3
 #: A text's mean vector is multiplied by this before the softmax: toxic words are few in a text.
 SCALE = 40.0
@@ -88,8 +89,12 @@ def text_bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def learn(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 4, rate: float = 0.5, decay: float = 2e-5, seed: int = 3) -> tuple[np.ndarray, float]:
-    """(one number for each bucket, bias) after training table and softmax by AdaGrad, text by text."""
+def learn(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int | None = None, rate: float = 0.5, decay: float = 2e-5, seed: int = 3) -> tuple[np.ndarray, float]:
+    """(one number for each bucket, bias) after training table and softmax by AdaGrad, text by text.
+
+    At least 4 epochs, and about ``STEPS`` steps if the rows are few.
+    """
+    epochs = epochs or max(4, -(-STEPS // max(1, len(rows))))
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.03, (BUCKETS, DIM))
     soft, bias = rng.normal(0, 0.3, (DIM, 2)), np.zeros(2)
