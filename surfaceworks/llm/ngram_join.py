@@ -19,6 +19,7 @@ by parts under another seed: a similar pair in it has an equal part there too.
 from __future__ import annotations
 
 import functools
+import gc
 import math
 
 import numpy as np
@@ -244,7 +245,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     tile = F.expr("min(id) over (partition by key)").alias("hub"), F.expr("max(id) over (partition by key)").alias("far")
     shared = stash.put(dealt.select("key", "id", *tile).where("hub < far").select("key", "id", "hub"))
     bits = [f"b{i}" for i in range(BITS // 64)]
-    maps = rows.where("size(keys) > 0").select("id", "n", *bits)
+    # the keys are done with: their table and shuffle go before sets of shingles need the room
+    slim = stash.put(rows.select("id", "n", (F.size("keys") > 0).alias("dealt"), *bits))
+    stash.drop(rows)
+    del dealt, nodes, named, tile
+    rows = slim
+    gc.collect()
+    spark._jvm.System.gc()
+    maps = rows.where("dealt").select("id", "n", *bits)
 
     def side(name: str, of: DataFrame) -> DataFrame:
         return of.select(*[F.col(c).alias(name if c == "id" else f"{name}_{c}") for c in of.columns])
