@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embed_dedup, lines, mixing, ngram_join, packing, pii, quality, rules, token_files, toxicity
+from .base import Stash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +67,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", lines.html_lines(F.col("html")).alias("text"))
+    pages = Stash(spark, "page-lines").put(pages)  # the markup is taken off once, for counting and for cutting
     kept = lines.drop_boilerplate(pages, lines.host_of(F.col("url")))
     return kept.select("page_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
