@@ -1,18 +1,15 @@
-"""Embedding near-dedup: sorted projection passes.
-
-Each pass orders the vectors lexicographically by a concatenation of random hyperplane hashes and
-compares every vector with the ``WINDOW`` that follow it, exactly and in double precision. Passes
-are dealt by ranges of (pass, key, id), so a common key is split like any other; windows end at the
-end of a task's range, which costs a pass a few pairs near it. The links of a task are reduced to
-those that connect (a spanning forest), so a pass gives at most one link for each vector. The union
-over all passes makes components, within which the links of every vector are then counted exactly,
-block by block, without listing pairs.
+"""Embedding near-dedup: every pair of distinct vectors is compared.
+
+Vectors are dealt to blocks by hash, and each pair of blocks is a tile, the work of one task. A tile
+multiplies in single precision and decides what lies within the rounding error of the threshold in
+double precision. It gives the number of links of each of its vectors and, of its links, only those
+that connect; these make components. No link is missed; the work grows with the square of the
+number of distinct vectors, and a vector is shuffled once for each block.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -20,15 +17,11 @@ from pyspark.sql import functions as F
 
 from .base import Stash, components
 
-PASSES, WINDOW, BITS = 16, 128, 32
-PASSES_AT_ONCE = 4
 THRESHOLD = 0.9
-#: Vectors in a block of a large component; small components share blocks of about as many.
-BLOCK = 2048
-
-
-def planes(dim: int, seed: int = 11) -> np.ndarray:
-    return np.random.default_rng(seed).normal(size=(dim, PASSES * BITS))
+#: Vectors in a block at most, on average; small tables have more blocks than that, for parallel work.
+BLOCK, LEAST_BLOCKS = 16_384, 6
+#: Rows of a tile that are multiplied at once, and pairs that are decided again at once.
+ROWS, PAIRS = 256, 1 << 16
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
@@ -39,25 +32,6 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return raw / np.linalg.norm(raw, axis=1, keepdims=True)
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Which of the links (a, b) between 0..n-1 connect what those before them did not."""
-    up = list(range(n))
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    keep = np.zeros(len(a), bool)
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        x, y = root(x), root(y)
-        if x != y:
-            up[x] = y
-            keep[i] = True
-    return keep
-
-
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, v, n_same): one row for each distinct vector that can link, under its smallest id."""
     v = F.col(vector_col).cast("array<double>")
@@ -65,75 +39,60 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return vectors.where(fine & F.col(id_col).isNotNull()).groupBy(v.alias("v")).agg(F.min(F.col(id_col).cast("long")).alias("id"), F.count("*").alias("n_same")).select("id", "v", "n_same")
 
 
-def _keys(nodes: DataFrame, first: int) -> DataFrame:
-    """(pass, key, id, v) for the passes from ``first`` on."""
-
-    def run(batches):
-        weights = np.left_shift(np.int64(1), np.arange(BITS - 1, -1, -1, dtype=np.int64))
-        hyper: dict[int, np.ndarray] = {}
-        for batch in batches:
-            lengths = pc.list_value_length(batch.column(1)).to_numpy()
-            for dim in np.unique(lengths):
-                rows = batch.filter(pa.array(lengths == dim))
-                if dim not in hyper:
-                    hyper[dim] = planes(int(dim))
-                signs = _unit(_matrix(rows.column(1))) @ hyper[dim] >= 0
-                for p in range(first, min(PASSES, first + PASSES_AT_ONCE)):
-                    keys = signs[:, p * BITS : (p + 1) * BITS] @ weights
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), p * 100_000 + int(dim))), pa.array(keys), rows.column(0), rows.column(1)], ["pass", "key", "id", "v"])
-
-    return nodes.select("id", "v").mapInArrow(run, "pass long, key long, id long, v array<double>")
-
-
-def _windows(sorted_keys: DataFrame, threshold: float, window: int) -> DataFrame:
-    """Links (a, b) that connect, of what each task's rows show within the window."""
-
-    def run(batches):
-        held_pass, held_ids, held_unit = None, None, None
-        for batch in batches:
-            passes = batch.column(0).to_numpy()
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(passes)) + 1, [len(passes)]))
+def _near(x: np.ndarray, y: np.ndarray, y32: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the unit vectors of x and y whose cosine is the threshold or more."""
+    slack = (x.shape[1] + 8) * 2.0**-23  # twice what a single-precision product of unit vectors can be off
+    products = x.astype(np.float32) @ y32.T
+    near = products >= threshold + slack
+    r, c = np.nonzero((products >= threshold - slack) & ~near)
+    for at in range(0, len(r), PAIRS):
+        i, j = r[at : at + PAIRS], c[at : at + PAIRS]
+        near[i, j] = np.einsum("ij,ij->i", x[i], y[j]) >= threshold
+    return np.nonzero(near)
+
+
+def _tile(table: pa.Table, threshold: float) -> pa.Table:
+    """Links (a, b) that connect, and the number n of links of a in this tile (with b null)."""
+    ends, others, counted, numbers = [], [], [], []
+    lengths = pc.list_value_length(table.column("v")).to_numpy()
+    for dim in np.unique(lengths):
+        rows = table.filter(pa.array(lengths == dim)).combine_chunks()
+        right = rows.column("right").to_numpy()
+        order = np.argsort(right, kind="stable")
+        ids, weights = rows.column("id").to_numpy()[order], rows.column("n_same").to_numpy()[order]
+        unit = _unit(_matrix(rows.column("v").combine_chunks()))[order]
+        n_left, alone = int((~right).sum()), rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
+        first = 0 if alone else n_left
+        y, y32 = unit[first:], unit[first:].astype(np.float32)
+        n, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for at in range(0, n_left, ROWS):
+            r, c = _near(unit[at : min(at + ROWS, n_left)], y, y32, threshold)
+            r, c = r + at, c + first
+            fine = ids[r] != ids[c]
+            r, c = r[fine], c[fine]
+            if not len(r):
+                continue
+            n += np.bincount(r, weights[c], len(ids)).astype(np.int64)
+            if not alone:
+                n += np.bincount(c, weights[r], len(ids)).astype(np.int64)
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(r)) + 1, [len(r)]))
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if e <= s:
-                    continue
-                part = batch.slice(int(s), int(e - s))
-                ids, unit = part.column(2).to_numpy(), _unit(_matrix(part.column(3)))
-                if held_pass == passes[s]:
-                    ids, unit = np.concatenate((held_ids, ids)), np.concatenate((held_unit, unit))
-                a, b = [], []
-                for at in range(0, len(ids), window):
-                    block = unit[at : at + window] @ unit[at : at + 2 * window].T
-                    i, j = np.nonzero(block >= threshold)
-                    near = (j > i) & (j <= i + window)
-                    a.append(i[near] + at)
-                    b.append(j[near] + at)
-                a, b = np.concatenate(a), np.concatenate(b)
-                keep = _forest(a, b, len(ids))
-                if keep.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a[keep]]), pa.array(ids[b[keep]])], ["a", "b"])
-                held_pass, held_ids, held_unit = passes[s], ids[-window:].copy(), unit[-window:].copy()
-
-    return sorted_keys.select("pass", "key", "id", "v").mapInArrow(run, "a long, b long")
-
-
-def _count(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links of the vectors of side L (or B: both) with those of side R (or B) of the same component."""
-    out = []
-    for _, group in pdf.groupby("component", sort=False):
-        left, right = group[group.side != "R"], group[group.side != "L"]
-        if not len(left) or not len(right):
-            continue
-        x, y = _unit(np.stack(left.v.to_numpy())), _unit(np.stack(right.v.to_numpy()))
-        weights, counts = right.n_same.to_numpy(), np.zeros(len(left), np.int64)
-        for at in range(0, len(left), 512):
-            near = x[at : at + 512] @ y.T >= threshold
-            near[left.id.to_numpy()[at : at + 512, None] == right.id.to_numpy()[None, :]] = False
-            counts[at : at + 512] = near @ weights
-        out.append(pd.DataFrame({"id": left.id.to_numpy(), "n": counts}))
-    return pd.concat(out) if out else pd.DataFrame({"id": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
-
-
-def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
+                own, near = label[r[s]], c[s:e]
+                near = near[label[near] != own]
+                if len(near):
+                    joined, one = np.unique(label[near], return_index=True)
+                    ends.append(np.full(len(one), ids[r[s]]))
+                    others.append(ids[near[one]])
+                    label[np.isin(label, joined)] = own
+        counted.append(ids[n > 0])
+        numbers.append(n[n > 0])
+    whole = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
+    a, b, of, n = whole(ends), whole(others), whole(counted), whole(numbers)
+    column = lambda x, y: pa.concat_arrays([pa.nulls(len(a), pa.int64()) if x is None else pa.array(x), pa.nulls(len(of), pa.int64()) if y is None else pa.array(y)])
+    return pa.table({"a": column(a, of), "b": column(b, None), "n": column(None, n)})
+
+
+def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept. Runs jobs.
 
     Vectors link when their cosine is ``threshold`` or more; component_id is the smallest id
@@ -146,27 +105,13 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     spark = vectors.sparkSession
     stash = Stash(spark, "embed-dedup")
     nodes = stash.put(usable(vectors, id_col, vector_col))
-    links = None
-    for first in range(0, PASSES, PASSES_AT_ONCE):
-        dealt = _keys(nodes, first).repartitionByRange("pass", "key", "id").sortWithinPartitions("pass", "key", "id")
-        some = stash.put(_windows(dealt, threshold, window))
-        links = some if links is None else links.unionByName(some)
-    found = stash.put(components(spark, links, stash))
-    members = stash.put(found.join(nodes, "id"))
-    sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    placed = members.join(sizes, "component").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    shares = max(1, members.count() // BLOCK)
-    each = F.when(F.col("blocks") == 1, F.array(F.struct(F.pmod(F.xxhash64("component"), F.lit(shares)).alias("i"), F.lit(-1).cast("long").alias("j"), F.lit("B").alias("side"))))
-    others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    each = each.otherwise(
-        F.concat(
-            F.transform(others, lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit("L").alias("side"))),
-            F.transform(others, lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit("R").alias("side"))),
-        )
-    )
-    dealt = placed.select("component", "id", "v", "n_same", F.when(F.col("blocks") > 1, F.col("component")).alias("big"), F.explode(each).alias("e")).select("*", "e.*").drop("e")
-    counted = dealt.groupBy("big", "i", "j").applyInPandas(lambda pdf: _count(pdf, threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    blocks = max(LEAST_BLOCKS, -(-nodes.count() // BLOCK))
+    own, other = F.col("block"), F.col("other")
+    placed = nodes.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks).cast("long"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    dealt = placed.select("id", "v", "n_same", F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), (own > other).alias("right"))
+    seen = stash.put(dealt.groupBy("i", "j").applyInArrow(lambda tile: _tile(tile, threshold), "a long, b long, n long"))
+    found = stash.put(components(spark, seen.where("b is not null").select("a", "b"), stash))
+    counted = seen.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     nodes = nodes.join(counted, "id", "left").join(found, "id", "left")
     nodes = nodes.select("v", (F.coalesce("n", F.lit(0)) + F.col("n_same") - 1).alias("n"), F.coalesce("component", "id").alias("c"))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.col(id_col).isNotNull(), F.col(vector_col).cast("array<double>")).alias("own"))

@@ -106,3 +106,15 @@ def test_embeddings_against_all_pairs(spark):
         assert got[i] == (int(near[i].sum()) - 1, top[i], top[i] == i)
     assert all(got[i] == (0, i, True) for i in range(1000, 1005)) and got[1005] == (1, 1005, True) and got[1006] == (1, 1005, False) and got[None] == (0, None, False)
     assert embed_dedup.dedup(df.limit(0)).count() == 0
+
+
+def test_embeddings_of_one_hot_topic_against_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    m = unit(np.sqrt(0.8) * unit(rng.normal(size=64)) + np.sqrt(0.2) * unit(rng.normal(size=(5000, 64))))
+    near = m @ m.T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame(list(enumerate(m.tolist())), "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.dedup(df).collect()}
+    top = roots(range(5000), [(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True) if a < b])
+    assert near.sum() > 200 and got == {i: (int(near[i].sum()), top[i]) for i in range(5000)}
