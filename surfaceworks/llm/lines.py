@@ -30,7 +30,7 @@ def host_of(url: Column) -> Column:
 
 
 def drop_boilerplate(
-    pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, most_removed: float = 1.0
+    pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, most_removed: float = 1.0, copies_once: bool = False
 ) -> DataFrame:
     """All rows and columns of pages, without boilerplate lines in the text; adds _n_lines and _n_dropped. Runs a job.
 
@@ -38,14 +38,19 @@ def drop_boilerplate(
     counted nor dropped. A line goes if more than ``ratio`` of its host's rows and at least
     ``min_pages`` rows hold it. Rows that would lose more than ``most_removed`` of the
     characters of their lines stay as they are: they are copies of each other and not pages with
-    boilerplate. A null host is a host of its own, a null text stays null and has no lines, repeated
-    rows count each, an empty table gives an empty one.
+    boilerplate. With ``copies_once``, rows of a host that hold the same lines in the same order count
+    as one, so copies of a text don't make its lines boilerplate; else repeated rows count each. A null
+    host is a host of its own, a null text stays null and has no lines, an empty table gives an empty one.
     """
     rows = pages.withColumn("_host", host).withColumn("_lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
     keys = F.filter(F.transform("_lines", F.trim), lambda x: x != "")
-    seen = rows.select("_host", F.explode(F.array_distinct(F.transform(keys, lambda x: F.xxhash64(x)))).alias("h"))
+    counted = rows.select("_host", F.transform(keys, lambda x: F.xxhash64(x)).alias("_hashes"))
+    if copies_once:
+        sets = counted.groupBy("_host", F.xxhash64("_hashes").alias("_text")).agg(F.first("_hashes").alias("_hashes"))
+        counted = Stash(pages.sparkSession, "line-sets").put(sets.select("_host", "_hashes"))
+    seen = counted.select("_host", F.explode(F.array_distinct("_hashes")).alias("h"))
     counts = seen.groupBy("_host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    totals = rows.groupBy("_host").agg(F.count("*").alias("total")).withColumnRenamed("_host", "_of")
+    totals = counted.groupBy("_host").agg(F.count("*").alias("total")).withColumnRenamed("_host", "_of")
     common = counts.join(totals, F.col("_host").eqNullSafe(F.col("_of"))).where(F.col("n") > F.lit(ratio) * F.col("total"))
     listed = Stash(pages.sparkSession, "lines").put(common.groupBy(F.col("_host").alias("_of")).agg(F.collect_list("h").alias("_common")))
     rows = rows.join(listed, F.col("_host").eqNullSafe(F.col("_of")), "left").withColumn("_common", F.coalesce("_common", F.array().cast("array<bigint>")))

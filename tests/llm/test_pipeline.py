@@ -37,3 +37,10 @@ def test_each_stage_on_what_the_one_before_kept(spark, tmp_path):
     assert abs(mixed - 1.5 * words) <= 4
     assert sum(r.length for r in by["packing"].collect()) >= mixed
     assert corpus_pipeline.run(spark, d).count() == by["packing"].count()
+
+
+def test_boilerplate_goes_from_documents_that_are_mostly_boilerplate(spark):
+    common = "a long line that every page of this source repeats again and again"
+    rows = [(i, f"{common}\nown {i}", "en", "s", 0) for i in range(30)] + [(100 + i, "one text\nof which\nthere are copies", "en", "s", 0) for i in range(20)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_boilerplate(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert got == {i: f"own {i}" if i < 100 else t for i, t, *_ in rows}
