@@ -1,11 +1,18 @@
 """N-gram Jaccard join: which documents share a given part of their word shingles.
 
-Size-banded tiles. Two sets of n and m shingles whose Jaccard similarity is at least t differ in at
-most d = (n + m)(1 - t)/(1 + t) shingles. Sizes fall into bands; a band deals every set into more
-than d parts by a hash of the shingle, so of a similar pair at least one part is equal, and the hash
-of a part's content is the key of a tile that holds both (Arasu et al., 2006). No similar pair is
-missed. An empty part says nothing: a band has more parts by as many as are likely to be empty, and
-a set with more empty ones than that is dealt again with another seed, as is a partner like it.
+First, sets that can't have a partner go. A shingle that no other set holds is a difference, so a
+set of n shingles with more than n(1 - t) of them is similar to nothing at a threshold of t. Part of
+the space of shingle hashes is enough to see that in most sets; 32-bit prints of it are dealt to
+buckets by hash, in which those of one set alone are counted. A print that stands for several
+shingles only keeps a set that could have gone.
+
+Size-banded tiles for the rest. Two sets of n and m shingles whose Jaccard similarity is at least t
+differ in at most d = (n + m)(1 - t)/(1 + t) shingles. Sizes fall into bands; a band deals every set
+into more than d parts by a hash of the shingle, so of a similar pair at least one part is equal, and
+the hash of a part's content is the key of a tile that holds both (Arasu et al., 2006). A set is dealt
+in its own band and in each above it in which a partner can be. No similar pair is missed. An empty
+part says nothing: a band has more parts by as many as are likely to be empty, and a set with more
+empty ones than that is dealt again with another seed, as is a partner like it.
 
 Within tiles, bitmaps of the hashed shingles bound the overlap from above: a bit that only one set
 has stands for a shingle that only this set has. Pairs that pass are compared exactly, as sorted
@@ -19,7 +26,6 @@ by parts under another seed: a similar pair in it has an equal part there too.
 from __future__ import annotations
 
 import functools
-import gc
 import math
 
 import numpy as np
@@ -37,6 +43,13 @@ SEEDS = 4
 CROWDED = 512
 #: The largest size in a band, in times the smallest.
 BAND = 1.5
+#: Bytes of text whose prints a bucket holds, about.
+BUCKET_BYTES = 32 << 20
+LEAST_BUCKETS = 12
+#: The share of the space of hashes that is looked at, in times the part of its shingles that a set may hold alone.
+SHARE = 2.5
+#: Words of 64 bits in the map of hashed ids that texts are first filtered by; so many rows are broadcast at most.
+MAP_WORDS = 1 << 18
 
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
@@ -80,7 +93,7 @@ _EDGES: list[int] = [1]
 
 
 def _edges(upto: int) -> list[int]:
-    """Smallest sizes of the bands, as far as the second beyond ``upto``."""
+    """Smallest sizes of the bands, as far as the third beyond ``upto``."""
     while len(_EDGES) < 3 or _EDGES[-3] <= upto:
         _EDGES.append(max(_EDGES[-1] + 1, int(_EDGES[-1] * BAND)))
     return _EDGES
@@ -99,10 +112,13 @@ def plan_of(band: int, num: int, den: int) -> tuple[int, int]:
 
 
 def bands(n: int, num: int, den: int) -> list[int]:
-    """Bands in which a set of n meets its partners: its own, and the next if a partner can be there."""
-    edges = _edges(n * 2)
+    """Bands in which a set of n meets its partners: its own, and all above it that a partner can be in."""
+    edges = _edges(n * den // num + 1)
     b = int(np.searchsorted(edges, n, "right")) - 1
-    return [b] + ([b + 1] if n * den >= num * edges[b + 1] else [])
+    out = [b]
+    while n * den >= num * edges[out[-1] + 1]:
+        out.append(out[-1] + 1)
+    return out
 
 
 def tile_keys(shingles: np.ndarray, num: int, den: int, seeds: tuple[int, ...] = tuple(range(SEEDS))) -> np.ndarray:
@@ -142,8 +158,77 @@ def bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of 64-bit values between consecutive bounds, modulo 2**64."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=total[1:])
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def _prints(docs: DataFrame, words: int, lower: bool, buckets: int, of: int) -> DataFrame:
+    """For each slice of docs (id, text) and each of ``buckets`` a row of prints and of documents.
+
+    Of the space of hashes, cut into ``of`` parts, the first ``buckets`` are kept. prints holds the
+    distinct prints of the bucket, those of one set together: of the set f[i] come count[i]; those of
+    several sets of the slice have f = 0. Documents (ids, n, f1, f2) are dealt by f1, the lower half of
+    their set's fingerprint. What a row's bucket is depends on its content alone.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for first, rows in slices(batch.column(1)):
+                sets = shingle_sets(batch.column(1).slice(first, rows), words, lower)
+                ids = batch.column(0).slice(first, rows)
+                sizes = np.fromiter(map(len, sets), np.int64, rows)
+                bounds, h = np.concatenate(([0], np.cumsum(sizes))), np.concatenate(sets)
+                f1, f2 = np.maximum(_sums(mix(h), bounds), np.uint64(1)), _sums(mix(h ^ _K[1]), bounds)
+                part = (h >> np.uint64(32)) % np.uint64(of)
+                kept = (part < buckets) & np.repeat(ids.is_valid().to_numpy(zero_copy_only=False), sizes)
+                key = part[kept] << np.uint64(32) | h[kept] & np.uint64(0xFFFFFFFF)
+                order = np.argsort(key, kind="stable")
+                key, f = key[order], np.repeat(f1, sizes)[kept][order]
+                starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+                key, low, high = key[starts], *((x.reduceat(f, starts) for x in (np.minimum, np.maximum)) if len(key) else (f, f))
+                f = np.where(low == high, low, np.uint64(0))
+                order = np.lexsort((f, key >> np.uint64(32)))
+                key, f = key[order], f[order]
+                part, prints = (key >> np.uint64(32)).astype(np.int64), key.astype(np.uint32)
+                runs = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (f[1:] != f[:-1])))) if len(key) else starts
+                counts, of_run, run_part = np.diff(np.append(runs, len(key))).astype(np.uint32), f[runs], part[runs]
+                home = (f1 % np.uint64(buckets)).astype(np.int64)
+                by_home = np.argsort(home, kind="stable")
+                out = {k: [] for k in ("bucket", "f", "count", "prints", "ids", "n", "f1", "f2")}
+                for b in np.union1d(run_part, home).tolist():
+                    r, p, d = (slice(*np.searchsorted(x, (b, b + 1))) for x in (run_part, part, home[by_home]))
+                    d = by_home[d]
+                    own = b, of_run[r].tobytes(), counts[r].tobytes(), prints[p].tobytes(), ids.take(pa.array(d)).to_pylist(), sizes[d], f1[d].view(np.int64), f2[d].view(np.int64)
+                    for x, column in zip(own, out.values(), strict=True):
+                        column.append(x)
+                kinds = pa.int64(), *[pa.binary()] * 3, *[pa.list_(pa.int64())] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out.values(), kinds, strict=True)], list(out))
+
+    return docs.mapInArrow(run, "bucket long, f binary, count binary, prints binary, ids array<long>, n array<long>, f1 array<long>, f2 array<long>")
+
+
+def _alone(bucket: pa.Table) -> pa.Table:
+    """Of a bucket, its documents (id, n, f1, f2) and for each set f1 how many prints it alone holds (alone)."""
+    blob = lambda name, kind: np.frombuffer(b"".join(bucket.column(name).to_pylist()), kind)
+    prints, f = blob("prints", np.uint32), np.repeat(blob("f", np.uint64), blob("count", np.uint32))
+    if len(prints):
+        order = np.argsort(prints, kind="stable")
+        prints, f = prints[order], f[order]
+        starts = np.flatnonzero(np.concatenate(([True], prints[1:] != prints[:-1])))
+        low, high = np.minimum.reduceat(f, starts), np.maximum.reduceat(f, starts)
+        f = low[(low == high) & (low != 0)]
+    sets, alone = np.unique(f, return_counts=True)
+    docs = [pa.concat_arrays([x.flatten() for x in bucket.column(c).chunks] or [pa.array([], pa.int64())]) for c in ("ids", "n", "f1", "f2")]
+    none = lambda n: pa.nulls(n, pa.int64())
+    columns = [docs[0], none(len(sets))], [docs[1], none(len(sets))], [docs[2], pa.array(sets.view(np.int64))], [docs[3], none(len(sets))], [none(len(docs[0])), pa.array(alone.astype(np.int64))]
+    return pa.table([pa.concat_arrays(x) for x in columns], ["id", "n", "f1", "f2", "alone"])
+
+
 def _signatures(docs: DataFrame, words: int, num: int, den: int, lower: bool) -> DataFrame:
-    """(id, n, f1, f2, b0..b15, keys) for each row of docs (id, text); f1 and f2 are a 128-bit fingerprint of the set."""
+    """(id, n, b0..b15, keys, shingles) for each row of docs (id, text); shingles is the sorted set as bytes."""
     maps = ", ".join(f"b{i} long" for i in range(BITS // 64))
 
     def run(batches):
@@ -151,29 +236,16 @@ def _signatures(docs: DataFrame, words: int, num: int, den: int, lower: bool) ->
             for first, n in slices(batch.column(1)):
                 sets = shingle_sets(batch.column(1).slice(first, n), words, lower)
                 sizes = np.fromiter(map(len, sets), np.int64, n)
-                prints = [np.array([x(s) for s in sets], np.uint64).view(np.int64) for x in (lambda s: mix(s).sum(dtype=np.uint64), lambda s: mix(s ^ _K[1]).sum(dtype=np.uint64))]
                 bits = np.frombuffer(b"".join(map(bitmap, sets)), np.int64).reshape(n, BITS // 64)
                 keys = [tile_keys(s, num, den) for s in sets]
                 offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))), pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), *map(pa.array, (sizes, *prints)), *(pa.array(bits[:, i]) for i in range(BITS // 64)), lists],
-                    ["id", "n", "f1", "f2", *(f"b{i}" for i in range(BITS // 64)), "keys"],
+                    [batch.column(0).slice(first, n), pa.array(sizes), *(pa.array(bits[:, i]) for i in range(BITS // 64)), lists, pa.array([s.tobytes() for s in sets], pa.binary())],
+                    ["id", "n", *(f"b{i}" for i in range(BITS // 64)), "keys", "shingles"],
                 )
 
-    return docs.mapInArrow(run, f"id long, n long, f1 long, f2 long, {maps}, keys array<long>")
-
-
-def _sets(docs: DataFrame, words: int, lower: bool) -> DataFrame:
-    """(id, shingles): the sorted set as bytes."""
-
-    def run(batches):
-        for batch in batches:
-            for first, n in slices(batch.column(1)):
-                sets = shingle_sets(batch.column(1).slice(first, n), words, lower)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
-
-    return docs.mapInArrow(run, "id long, shingles binary")
+    return docs.mapInArrow(run, f"id long, n long, {maps}, keys array<long>, shingles binary")
 
 
 def _exact(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -199,16 +271,15 @@ def _tiles(rows: DataFrame) -> DataFrame:
     return kinds.groupBy("key").agg(F.sum("n").alias("members"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"))
 
 
-def _redealt(docs: DataFrame, words: int, num: int, den: int, lower: bool, seed: int) -> DataFrame:
-    """(id, keys) of docs (id, text) under another seed."""
+def _redealt(sets: DataFrame, num: int, den: int, seed: int) -> DataFrame:
+    """(id, keys) of sets (id, shingles) under another seed."""
 
     def run(batches):
         for batch in batches:
-            for first, n in slices(batch.column(1)):
-                keys = [tile_keys(s, num, den, (seed,)) for s in shingle_sets(batch.column(1).slice(first, n), words, lower)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64()))], ["id", "keys"])
+            keys = [tile_keys(np.frombuffer(s.as_buffer(), np.uint64), num, den, (seed,)).view(np.int64) for s in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["id", "keys"])
 
-    return docs.mapInArrow(run, "id long, keys array<long>")
+    return sets.mapInArrow(run, "id long, keys array<long>")
 
 
 def _can_link(num: int, den: int):
@@ -222,73 +293,81 @@ def _can_link(num: int, den: int):
     return (F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num) & (most * den >= (F.col("a_n") + F.col("b_n") - most) * num)
 
 
+def _of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts whose id is in ids (id). A map of hashed ids, of bounded size, takes most others out before the join."""
+    place = F.xxhash64("id")
+    word, bit = F.pmod(F.shiftrightunsigned(place, 6), F.lit(MAP_WORDS)), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+    held = ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    likely = texts.join(F.broadcast(held), word == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0)
+    return likely.select(*texts.columns).join(ids, "id", "left_semi")
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90, den: int = 100, lower: bool = True, crowded: int = CROWDED) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id. Runs jobs.
 
     Two rows link when den * |intersection| >= num * |union| of their sets; component_id is the
     smallest id reachable by links, itself included. A null text or one without words has an empty
-    set and links with nothing. Rows that share an id are one node. A row with a null id keeps a
-    null component_id. An empty table gives an empty one. Other columns are not read.
+    set and links with nothing. Rows that share an id are one node, which has the links of all their
+    texts. A row with a null id keeps a null component_id. An empty table gives an empty one. Other
+    columns are not read. Sets count as equal if 128 bits of their hash and their sizes are.
     """
     spark = docs.sparkSession
     stash = Stash(spark, "ngram-join")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = stash.put(_signatures(texts, words, num, den, lower))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
+    of = max(buckets, int(buckets * den / (den - num) / SHARE)) if num < den else buckets
+    seen = stash.put(_prints(texts, words, lower, buckets, of).groupBy("bucket").applyInArrow(_alone, "id long, n long, f1 long, f2 long, alone long"))
+    rows = seen.where("n is not null").select("id", "n", "f1", "f2")
     named = rows.where("id is not null and n > 0")
-    same = stash.put(named.select("id", "n", "f1", "f2").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    copies = named.select("id", "n", "f1", "f2").join(same.where("copies > 1"), ["n", "f1", "f2"]).where("id <> rep").select("id", "rep")
+    same = stash.put(named.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    copies = named.join(same.where("copies > 1"), ["n", "f1", "f2"]).where("id <> rep").select("id", "rep")
     copies = stash.put(copies)
 
-    # one row for each equal set; tiles of one set are of no use
-    nodes = named.where("size(keys) > 0").join(copies, "id", "left_anti")
+    # one row for each different set that can have a partner
+    alone = seen.where("n is null").groupBy("f1").agg(F.sum("alone").alias("alone"))
+    open_sets = same.join(alone, "f1", "left").where((F.col("n") - F.coalesce("alone", F.lit(0))) * den >= F.col("n") * num)
+    ids = stash.put(open_sets.select(F.col("rep").alias("id")).distinct())
+    nodes = stash.put(_signatures(_of_ids(texts, ids).dropDuplicates(["id", "text"]), words, num, den, lower).where("size(keys) > 0"))
+
+    # tiles of one set are of no use
     dealt = nodes.select(F.explode("keys").alias("key"), "id")
-    tile = F.expr("min(id) over (partition by key)").alias("hub"), F.expr("max(id) over (partition by key)").alias("far")
-    shared = stash.put(dealt.select("key", "id", *tile).where("hub < far").select("key", "id", "hub"))
+    tiles = dealt.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub < far").select("key", "hub")
+    shared = stash.put(dealt.join(tiles, "key").distinct())
     bits = [f"b{i}" for i in range(BITS // 64)]
-    # the keys are done with: their table and shuffle go before sets of shingles need the room
-    slim = stash.put(rows.select("id", "n", (F.size("keys") > 0).alias("dealt"), *bits))
-    stash.drop(rows)
-    del dealt, nodes, named, tile
-    rows = slim
-    gc.collect()
-    spark._jvm.System.gc()
-    maps = rows.where("dealt").select("id", "n", *bits)
+    maps, sets = nodes.select("id", "n", *bits), nodes.select("id", "shingles")
 
     def side(name: str, of: DataFrame) -> DataFrame:
         return of.select(*[F.col(c).alias(name if c == "id" else f"{name}_{c}") for c in of.columns])
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those that link, stashed."""
-        pairs = stash.put(pairs)
-        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = stash.put(_sets(texts.join(ends, "id", "left_semi"), words, lower).dropDuplicates(["id"]), "uncompressed")
         full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-        out = stash.put(_exact(full.select("a", "b", "sa", "sb"), num, den))
-        stash.drop(sets)
-        return out
+        return stash.put(_exact(full.select("a", "b", "sa", "sb"), num, den))
 
     hubs = shared.where("id <> hub").groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
     near = hubs.join(side("a", maps), "a").join(side("b", maps), "b").where(_can_link(num, den)).select("a", "b").distinct()
     links = linked(near)
 
     # what is left: pairs of a tile that those links don't connect
-    so_far = components(spark, links, stash)
+    so_far = stash.put(components(spark, links, stash))
     label = F.coalesce(F.col("component"), F.col("id")).alias("component")
     of_tile = shared.select("key", "id").join(so_far, "id", "left").select("key", "id", label)
     open_tiles = of_tile.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = stash.put(of_tile.join(open_tiles, "key", "left_semi").join(maps, "id"))
+    left = stash.put(of_tile.join(open_tiles, "key", "left_semi"))
+    stash.drop(shared)
     crowd = stash.put(_tiles(left).where(F.col("members") - F.col("most") > crowded))
     pairs_now = crowd.agg(F.sum(F.col("members") * (F.col("members") - F.col("most")))).first()[0]
     if pairs_now:
         dense = left.join(crowd.select("key"), "key", "left_semi")
-        dealt = _redealt(texts.join(dense.select("id").distinct(), "id", "left_semi"), words, num, den, lower, SEEDS)
-        dense = stash.put(dense.select("key", "id", "component").join(dealt, "id").select(F.explode("keys").alias("part"), "key", "id", "component").select(F.xxhash64("key", "part").alias("key"), "id", "component"))
+        again = _redealt(sets.join(dense.select("id").distinct(), "id", "left_semi"), num, den, SEEDS)
+        dense = stash.put(dense.join(again, "id").select(F.explode("keys").alias("part"), "key", "id", "component").select(F.xxhash64("key", "part").alias("key"), "id", "component").distinct())
         again = _tiles(dense).where("members > most")
         if (again.agg(F.sum(F.col("members") * (F.col("members") - F.col("most")))).first()[0] or 0) < pairs_now:
-            dense = dense.join(again.select("key"), "key", "left_semi").join(maps, "id").select(*left.columns)
+            dense = dense.join(again.select("key"), "key", "left_semi").select(*left.columns)
             left = stash.put(left.join(crowd.select("key"), "key", "left_anti").unionByName(dense))
     # every pair of different components has one side outside the tile's largest component
-    left = left.join(_tiles(left).select("key", "main"), "key")
+    left = left.join(_tiles(left).select("key", "main"), "key").join(maps, "id")
     one = left.where("component <> main").select("key", "main", F.col("component").alias("ca"), *[F.col(c).alias("a" if c == "id" else f"a_{c}") for c in ("id", "n", *bits)])
     two = left.select("key", F.col("component").alias("cb"), *[F.col(c).alias("b" if c == "id" else f"b_{c}") for c in ("id", "n", *bits)])
     once = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))

@@ -76,19 +76,56 @@ def test_join_of_odd_rows(odd, empty):
     assert ngram_join.join(empty).count() == 0
 
 
-@pytest.mark.parametrize("num", [60, 80, 90])
+@pytest.mark.parametrize("num", [50, 60, 65, 80, 90])
 def test_equal_parts_are_found_for_every_similar_pair(num):
     rng, found = np.random.default_rng(num), 0
     for n in (4, 10, 25, 60, 300):
-        for _ in range(60):
+        for k in range(60):
             a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
             most = len(a) * (100 - num) // (100 + num)
             b = np.unique(np.concatenate((a[rng.permutation(len(a))[: len(a) - rng.integers(0, most + 1)]], rng.integers(0, 2**63, rng.integers(0, most + 1)).astype(np.uint64))))
+            if k % 3 == 0:  # a subset as small as can be, up to several bands below
+                b = a[np.sort(rng.permutation(len(a))[: -(-len(a) * num // 100)])]
             both = len(np.intersect1d(a, b))
             if 100 * both >= num * (len(a) + len(b) - both) and not np.array_equal(a, b):
                 found += 1
                 assert len(np.intersect1d(ngram_join.tile_keys(a, num, 100), ngram_join.tile_keys(b, num, 100)))
-    assert found > 20
+    assert found > 50
+
+
+def test_ids_that_repeat_under_different_texts(spark):
+    rng, words = random.Random(9), [f"w{i}" for i in range(300)]
+    one, five = " ".join(rng.choices(words, k=40)), " ".join(rng.choices(words, k=80))
+    rows = [(1, one), (3, one), (3, five + " end"), (5, five), (7, "some words that no other text has"), (7, None), (5, five), (9, one + " more")]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), words=3, num=90, den=100)
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(1, 1), (3, 1), (5, 1), (7, 7), (9, 1)} and got.count() == len(rows)
+
+
+def test_sets_with_a_partner_are_never_taken_out(spark):
+    """Prints of several slices and buckets: what one set alone holds is counted, copies or not."""
+    rng, words = random.Random(2), [f"w{i}" for i in range(5000)]
+    rows = []
+    for i in range(300):
+        t = rng.choices(words, k=60)
+        rows.append((len(rows), " ".join(t)))
+        if i % 3 == 0:
+            t[rng.randrange(60)] = "other"
+            rows.append((len(rows), " ".join(t)))
+        if i % 5 == 0:
+            rows.append((len(rows), rows[-1][1]))
+    s = sets(rows, 3)
+    df = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    seen = ngram_join._prints(df, 3, True, 7, 9).groupBy("bucket").applyInArrow(ngram_join._alone, "id long, n long, f1 long, f2 long, alone long").collect()
+    of = {r.id: r.f1 for r in seen if r.n is not None}
+    alone = collections.Counter()
+    for r in seen:
+        if r.n is None:
+            alone[r.f1] += r.alone
+    held = collections.Counter(x for t in {frozenset(x) for x in s.values()} for x in t)
+    assert set(of) == set(s) and max(alone.values()) > 20
+    for i in s:
+        assert alone[of[i]] <= sum(held[x] == 1 for x in s[i])
+
 
 
 def test_embeddings_against_all_pairs(spark):
