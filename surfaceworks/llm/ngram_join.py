@@ -228,7 +228,7 @@ def _alone(bucket: pa.Table) -> pa.Table:
 
 
 def _signatures(docs: DataFrame, words: int, num: int, den: int, lower: bool) -> DataFrame:
-    """(id, n, b0..b15, keys, shingles) for each row of docs (id, text); shingles is the sorted set as bytes."""
+    """(id, n, ones, b0..b15, keys, shingles) for each row of docs (id, text); shingles is the sorted set as bytes, ones the number of bits."""
     maps = ", ".join(f"b{i} long" for i in range(BITS // 64))
 
     def run(batches):
@@ -241,11 +241,11 @@ def _signatures(docs: DataFrame, words: int, num: int, den: int, lower: bool) ->
                 offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))), pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array(sizes), *(pa.array(bits[:, i]) for i in range(BITS // 64)), lists, pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["id", "n", *(f"b{i}" for i in range(BITS // 64)), "keys", "shingles"],
+                    [batch.column(0).slice(first, n), pa.array(sizes), pa.array(np.bitwise_count(bits.view(np.uint64)).sum(axis=1, dtype=np.int64)), *(pa.array(bits[:, i]) for i in range(BITS // 64)), lists, pa.array([s.tobytes() for s in sets], pa.binary())],
+                    ["id", "n", "ones", *(f"b{i}" for i in range(BITS // 64)), "keys", "shingles"],
                 )
 
-    return docs.mapInArrow(run, f"id long, n long, {maps}, keys array<long>, shingles binary")
+    return docs.mapInArrow(run, f"id long, n long, ones long, {maps}, keys array<long>, shingles binary")
 
 
 def _exact(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -283,23 +283,67 @@ def _redealt(sets: DataFrame, num: int, den: int, seed: int) -> DataFrame:
 
 
 def _can_link(num: int, den: int):
-    """Whether a pair with signatures a_* and b_* can reach the threshold, by sizes and bits."""
-    only_a = only_b = F.lit(0)
-    for i in range(BITS // 64):
-        a, b = F.col(f"a_b{i}"), F.col(f"b_b{i}")
-        only_a = only_a + F.bit_count(a.bitwiseAND(F.bitwise_not(b)))
-        only_b = only_b + F.bit_count(b.bitwiseAND(F.bitwise_not(a)))
-    most = F.least(F.col("a_n") - only_a, F.col("b_n") - only_b)
-    return (F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num) & (most * den >= (F.col("a_n") + F.col("b_n") - most) * num)
-
-
-def _of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of texts whose id is in ids (id). A map of hashed ids, of bounded size, takes most others out before the join."""
+    """Whether a pair with signatures a_* and b_* can reach the threshold, by sizes and bits.
+
+    A set has at least as many shingles alone as bits; one count for each word keeps the method that
+    Spark makes of this small enough to be compiled.
+    """
+    both = F.bit_count(F.col("a_b0").bitwiseAND(F.col("b_b0")))
+    for i in range(1, BITS // 64):
+        both = both + F.bit_count(F.col(f"a_b{i}").bitwiseAND(F.col(f"b_b{i}")))
+    most = F.least(F.col("a_n") - F.col("a_ones"), F.col("b_n") - F.col("b_ones")) + both
+    return (F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num) & (most * (den + num) >= (F.col("a_n") + F.col("b_n")) * num)
+
+
+def _marked(rows: DataFrame, key, ids: DataFrame) -> DataFrame:
+    """(r, id, bit): rows as structs, their key, and 0 where that is certainly not in ids (id). A map of hashed ids, of bounded size, is broadcast."""
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("r"), key.cast("long").alias("id"))
     place = F.xxhash64("id")
     word, bit = F.pmod(F.shiftrightunsigned(place, 6), F.lit(MAP_WORDS)), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
-    held = ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    likely = texts.join(F.broadcast(held), word == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0)
-    return likely.select(*texts.columns).join(ids, "id", "left_semi")
+    held = ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("held"))
+    return packed.withColumn("at", word).join(F.broadcast(held), F.col("at") == F.col("word"), "left").select("r", "id", F.coalesce(F.col("held").bitwiseAND(bit), F.lit(0)).alias("bit"))
+
+
+def of_ids(rows: DataFrame, key, ids: DataFrame) -> DataFrame:
+    """The rows whose key is in ids (id, distinct). Few others are shuffled for that."""
+    return _marked(rows, key, ids).where("bit <> 0").join(ids, "id", "left_semi").select("r.*")
+
+
+def not_of_ids(rows: DataFrame, key, ids: DataFrame) -> DataFrame:
+    """The rows whose key is null or not in ids (id, distinct). Few of them are shuffled for that."""
+    marked = _marked(rows, key, ids)
+    return marked.where("bit = 0").select("r.*").unionByName(marked.where("bit <> 0").join(ids, "id", "left_anti").select("r.*"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs, with all their columns, of which one of each group of similar texts stays. Runs jobs.
+
+    Groups are the components of ``join``; the row with the smallest id stays, a null id being the
+    last, of equal ids that with the smaller hash. Rows are told apart by id and text, so texts that
+    share an id are separate documents; rows that repeat both are one, of which that with the
+    smallest other columns stays. Texts without words are similar to none.
+    """
+    stash = Stash(docs.sparkSession, "one-of-each")
+    row = F.xxhash64(F.col(id_col), F.col(text_col))
+    found = stash.put(join(docs.select(row.alias("id"), F.col(text_col).alias("text")), "id", "text", words, num, den).select(F.col("doc_id").alias("id"), "component_id"))
+    seen = stash.put(found.groupBy("id", "component_id").agg(F.count("*").alias("times")))
+    groups = seen.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
+    members = seen.join(groups, "component_id").select("id", "component_id")
+    named = of_ids(docs.select(row.alias("row"), F.col(id_col).cast("long").alias("own")), F.col("row"), stash.put(members.select("id"))).distinct()
+    first = F.struct(F.col("own").isNull().alias("last"), "own", "row").alias("first")
+    placed = stash.put(members.join(named, members["id"] == named["row"]).select("component_id", "row", first))
+    best = placed.groupBy("component_id").agg(F.min("first").alias("best"))
+    others = stash.put(placed.join(best, "component_id").where("row <> best.row").select(F.col("row").alias("id")).distinct())
+    kept = not_of_ids(docs, row, others)
+    again = stash.put(seen.where("times > 1").select("id").join(others, "id", "left_anti"))
+    if not again.limit(1).count():
+        return kept
+    # rows that repeat id and text: the smallest stays
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    own = [F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("rest")] if rest else []
+    alike = of_ids(docs, row, again).groupBy(F.col(id_col).alias("id"), F.col(text_col).alias("text")).agg(F.count("*").alias("n"), *own)
+    once = alike.select(*[F.col("id" if c == id_col else "text" if c == text_col else f"rest.`{c}`").alias(c) for c in docs.columns])
+    return not_of_ids(kept, row, again).unionByName(once)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90, den: int = 100, lower: bool = True, crowded: int = CROWDED) -> DataFrame:
@@ -328,13 +372,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     alone = seen.where("n is null").groupBy("f1").agg(F.sum("alone").alias("alone"))
     open_sets = same.join(alone, "f1", "left").where((F.col("n") - F.coalesce("alone", F.lit(0))) * den >= F.col("n") * num)
     ids = stash.put(open_sets.select(F.col("rep").alias("id")).distinct())
-    nodes = stash.put(_signatures(_of_ids(texts, ids).dropDuplicates(["id", "text"]), words, num, den, lower).where("size(keys) > 0"))
+    nodes = stash.put(_signatures(of_ids(texts, F.col("id"), ids).dropDuplicates(["id", "text"]), words, num, den, lower).where("size(keys) > 0"))
 
     # tiles of one set are of no use
     dealt = nodes.select(F.explode("keys").alias("key"), "id")
     tiles = dealt.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub < far").select("key", "hub")
     shared = stash.put(dealt.join(tiles, "key").distinct())
-    bits = [f"b{i}" for i in range(BITS // 64)]
+    bits = ["ones", *(f"b{i}" for i in range(BITS // 64))]
     maps, sets = nodes.select("id", "n", *bits), nodes.select("id", "shingles")
 
     def side(name: str, of: DataFrame) -> DataFrame:

@@ -101,6 +101,15 @@ def test_ids_that_repeat_under_different_texts(spark):
     assert {(r.doc_id, r.component_id) for r in got.collect()} == {(1, 1), (3, 1), (5, 1), (7, 7), (9, 1)} and got.count() == len(rows)
 
 
+def test_one_of_each_keeps_other_texts_of_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "a", 1), (2, text + " end", "b", 2), (2, "a text of its own that shares the id", "c", 3), (3, text, "d", 4), (4, "twice the same", "f", 6), (4, "twice the same", "e", 5), (None, text + " end", "g", 7), (5, None, "h", 8), (6, "", "i", 9), (5, None, "h", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string, bit int")
+    got = sorted((r.doc_id, r.text, r.id, r.bit) for r in ngram_join.one_of_each(df).collect())
+    assert got == [(1, text, "a", 1), (2, rows[2][1], "c", 3), (4, "twice the same", "e", 5), (5, None, "h", 8), (6, "", "i", 9)]
+    assert ngram_join.one_of_each(df.limit(0)).count() == 0 and ngram_join.one_of_each(df.where("id = 'c'")).count() == 1
+
+
 def test_sets_with_a_partner_are_never_taken_out(spark):
     """Prints of several slices and buckets: what one set alone holds is counted, copies or not."""
     rng, words = random.Random(2), [f"w{i}" for i in range(5000)]
