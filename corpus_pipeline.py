@@ -2,7 +2,10 @@
 
 Each stage gets the documents that the one before it kept and gives back documents with the same
 columns; the last gives the boundary records of packed sequences. ``run`` writes what a stage gives
-to the shared folder and reads it again, so a lost executor never costs an earlier stage.
+to the shared folder and reads it again, so a lost executor never costs an earlier stage. An empty
+table, or one of which nothing is kept, gives an empty result; null and empty texts pass the filters
+as the classifier scores them and pack as an end id alone; ids may be null or repeat under
+different texts, and rows that repeat id and text become one in the n-gram Jaccard join.
 """
 
 from __future__ import annotations
@@ -28,13 +31,11 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose sets of five-word shingles reach a Jaccard similarity of 0.8, directly or by links, the one with the smallest id stays."""
-    groups = Stash(spark, "groups").put(ngram_join.join(docs, words=5, num=80, den=100).select("doc_id", "component_id"))
-    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
-    return left
+    """Of documents whose sets of five-word shingles reach a Jaccard similarity of 0.8, directly or by links, the one with the smallest id stays.
+
+    Rows are told apart by id and text, so different texts that share an id are separate documents.
+    """
+    return ngram_join.one_of_each(docs, words=5, num=80, den=100)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
