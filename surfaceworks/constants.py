@@ -54,8 +54,71 @@ WINDOW_TOKENS = 200_000
 
 # Canonical form.
 TOOL_FIELDS = ("name", "title", "description", "inputSchema", "outputSchema", "annotations", "icons", "_meta")
-REF_DEPTH, REF_NODES = 32, 20_000
+REF_DEPTH, REF_NODES, REF_SECONDS = 32, 20_000, 5.0
+
+# Flags of references that stay, in the order in which they are listed.
+EXTERNAL_REF = "external_ref_unresolvable"
+RECURSIVE_REF = "recursive_ref_unresolved"
+REF_BOUND = "ref_resolution_bound_exceeded"
+BAD_POINTER = "internal_ref_unresolvable"
+REF_FLAGS = (EXTERNAL_REF, RECURSIVE_REF, REF_BOUND, BAD_POINTER)
 
 # Analysis of frame logs.
 MOST_WARNINGS = 50
 UNMATCHED = "(unmatched)"
+
+# Texts of the warnings about a frame log, in printf form.
+BAD_LINE = "line %d: not valid JSON, skipped"
+ODD_LINE = "line %d: neither a header nor a frame, skipped"
+ODD_DIRECTION = "line %d: unknown direction \"%s\""
+ODD_MESSAGE = "line %d: message carries neither a method nor a response payload"
+REUSED_ID = "line %d: request id %s reused before the earlier one was answered"
+LOST_RESPONSE = "line %d: response id %s has no logged request"
+NO_RESULT_TOKENS = (
+    "result tokens unavailable: %d of %d tool-call responses carry result_full; rerun the interposer with --full-results to measure them"
+)
+MIXED_VERSIONS = "log carries %d interposer versions ([%s]); frames from different versions are not comparable and this report is not publishable"
+NO_HEADER = "log has no header line, so interposer_version is unknown; section 5 withholds a result missing a version stamp"
+MANY_SESSIONS = "log contains %d sessions; one log per trial is the section 6 convention"
+MORE_WARNINGS = "%d further warnings suppressed"
+
+# Texts of launch, credential and listing outcomes.
+ONLY_SSE = "only the deprecated HTTP+SSE transport is declared, which the harness does not support"
+NO_LAUNCH = "acquisition spec unresolved in the corpus"
+NO_VARIABLE = "credential required but the corpus declares no env var convention"
+UNSET_VARIABLE = "credential required but %s is not set"
+NO_LISTING = "no dependency listing found in %d lines of output"
+BAD_LISTING = "dependency listing carried a malformed entry: [%s]"
+
+# Environment that a launch inherits.
+INHERITED = (
+    "PATH", "HOME", "USER", "LANG", "LC_ALL", "TMPDIR", "SHELL", "XDG_CACHE_HOME", "XDG_DATA_HOME", "NODE_PATH",
+    "NPM_CONFIG_CACHE", "UV_CACHE_DIR",
+)
+
+# An input schema that stands for none.
+EMPTY_SCHEMA = '{"type":"object","properties":{}}'
+
+# Sources.
+MOST_PAGES = 200
+MOST_LINE_BYTES = 64 << 20
+NEGOTIATE = -32022
+
+# Tasks whose success is read from the transcript, and the servers of tasks by the letters they begin with.
+TRANSCRIPT_TASKS = ("FS-01", "FS-02", "PW-01", "PW-02", "PW-03", "PW-04", "GH-01", "GH-02", "GH-05")
+TASK_SERVERS = {"FS": "filesystem", "PW": "playwright", "GH": "github"}
+
+# Why a server is left out of a total, in printf form.
+NO_DATA = "no data (%s %s)"
+NO_MEASUREMENT = "no %s measurement (pending)"
+NO_SEARCH_MODEL = "no tool-search model (pending)"
+NO_CODE_MODEL = "no code-mode model (pending)"
+
+# How what a launch resolves is listed, what it looks for, and why nothing is listed.
+BY_UVX, BY_NPX, BY_IMAGE, NOT_LISTED = "uvx_importlib_metadata", "npx_node_modules_walk", "container_image", "not_applicable"
+NPM_SDK, PYPI_SDK = "@modelcontextprotocol/sdk", "mcp"
+DEPS_NOTES = {
+    "container_image": "the image is the dependency pin: its layers ship the resolved dependencies, so nothing is resolved at acquisition time. acquisition.pinned reports whether the image reference is a digest rather than a mutable tag",
+    "not_applicable/remote": "remote transport: nothing is resolved locally, and the protocol exposes no dependency set for the server behind the endpoint",
+    "not_applicable/binary": "binary launch: the command is already on the machine and no resolver runs at acquisition time",
+}

@@ -11,6 +11,11 @@ MODES = ("naive", "tool_search", "code_mode")
 MODELS = ("openai_o200k", "claude", "gemini")
 
 
+#: What modes and models are called.
+MODE_LABELS = {"naive": "Naive full load", "tool_search": "Tool Search", "code_mode": "Code Mode"}
+MODEL_LABELS = {"openai_o200k": "OpenAI o200k", "claude": "Claude", "gemini": "Gemini"}
+
+
 def code_tokens(total: Column) -> Column:
     return F.when((total > 0) & (total < CODE_TOKENS), total).otherwise(F.lit(CODE_TOKENS).cast("long"))
 
@@ -44,11 +49,11 @@ def kind_of(mode: Column) -> Column:
 
 
 def cold_dollars(tokens: Column, price: Column, write: Column) -> Column:
-    return tokens * price / F.lit(1e6) * write
+    return tokens * (price / F.lit(1e6)) * write
 
 
 def read_dollars(tokens: Column, price: Column, read: Column) -> Column:
-    return tokens * price / F.lit(1e6) * read
+    return tokens * (price / F.lit(1e6)) * read
 
 
 def cacheable(tokens: Column, least: Column) -> Column:
@@ -59,6 +64,27 @@ def window_share(tokens: Column) -> Column:
     return tokens / F.lit(float(WINDOW_TOKENS)) * F.lit(100.0)
 
 
+def gauge(tokens: Column) -> Column:
+    """struct<filled, overloaded> of the window that a total takes: filled from 0 to 1."""
+    share = tokens / F.lit(float(WINDOW_TOKENS))
+    return F.struct(F.when(share.isNotNull(), F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))).alias("filled"), (share > 1).alias("overloaded"))
+
+
+def labelled(c: Column, labels: dict[str, str]) -> Column:
+    out = F.lit(None).cast("string")
+    for key, label in labels.items():
+        out = F.when(c == key, label).otherwise(out)
+    return out
+
+
+def percent_text(c: Column) -> Column:
+    return F.when(c.isNull(), "n/a").otherwise(F.format_string("%.1f%%", c))
+
+
+def fraction_text(c: Column) -> Column:
+    return F.when(c.isNull(), "n/a").otherwise(F.format_string("%.2f", c))
+
+
 def js_round(c: Column) -> Column:
     return F.floor(c + F.lit(0.5))
 
@@ -102,3 +128,10 @@ def from_permalink(url: Column) -> Column:
     return F.struct(
         servers.alias("servers"), F.when(q("mode").isin(*MODES), q("mode")).otherwise(MODES[0]).alias("mode"), F.when(q("model").isin(*MODELS), q("model")).otherwise(MODELS[0]).alias("model")
     )
+
+
+def epoch_ns(stamp: Column) -> Column:
+    """Nanoseconds of an RFC 3339 stamp, which timestamps can't hold; null of what is none."""
+    whole = F.unix_seconds(F.try_to_timestamp(F.regexp_replace(stamp, r"\.[0-9]+", "")))
+    part = F.rpad(F.substring(F.regexp_extract(stamp, r"\.([0-9]+)", 1), 1, 9), 9, "0")
+    return whole * F.lit(1_000_000_000) + F.when(F.contains(stamp, F.lit(".")), part.cast("long")).otherwise(0)

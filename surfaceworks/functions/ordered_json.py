@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import json
 import re
+import time
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import REF_DEPTH, REF_NODES, SCHEMA_DEPTH, TOOL_FIELDS
+from ..constants import BAD_POINTER, EXTERNAL_REF, RECURSIVE_REF, REF_BOUND, REF_DEPTH, REF_FLAGS, REF_NODES, REF_SECONDS, SCHEMA_DEPTH, TOOL_FIELDS
 
 
 class Number(str):
@@ -52,63 +53,128 @@ def dump(value, key=None) -> str:
     return {None: "null", True: "true", False: "false"}[value]
 
 
+def _named(value) -> bool:
+    return isinstance(value, list) and all(isinstance(v, dict) and type(v.get("name")) is str for v in value)
+
+
 def dump_sorted(value) -> str:
     """Keys in code point order at every depth; a top-level array by name, if all its elements have one."""
-    if isinstance(value, list) and all(isinstance(v, dict) and type(v.get("name")) is str for v in value):
+    if _named(value):
         value = sorted(value, key=lambda v: v["name"])
     return dump(value, key=lambda k: k)
 
 
-FLAGS = ("external_ref", "recursive_ref", "ref_bound", "bad_pointer")
+def dump_published(value) -> str:
+    """As ``dump_sorted``, but a top-level array in the order that published digests have.
+
+    Published digests come from a stable sort in place that compares the names by position while only
+    the elements move: runs of 20 by insertion, then merges in place that double. Arrays that are
+    sorted already, or short and nearly so, keep the order by name.
+    """
+    if _named(value):
+        value = [value[i] for i in _published_order([v["name"] for v in value])]
+    return dump(value, key=lambda k: k)
+
+
+def _published_order(names: list[str], run: int = 20) -> list[int]:
+    """Places of the elements after the sort of ``dump_published``; names never move."""
+    order, n = list(range(len(names))), len(names)
+    less = lambda i, j: names[i] < names[j]
+
+    def shift(source: int, to: int) -> None:
+        order.insert(to, order.pop(source))
+
+    def first(low: int, high: int, holds) -> int:
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if holds(middle) else (middle + 1, high)
+        return low
+
+    def merge(a: int, m: int, b: int) -> None:
+        if m - a == 1:
+            shift(a, first(m, b, lambda h: not less(h, a)) - 1)
+        elif b - m == 1:
+            shift(m, first(a, m, lambda h: less(m, h)))
+        else:
+            middle = (a + b) // 2
+            n = middle + m
+            start = first(*((n - b, middle) if m > middle else (a, m)), lambda c: less(n - 1 - c, c))
+            end = n - start
+            if start < m < end:
+                order[start:end] = order[m:end] + order[start:m]
+            if a < start < middle:
+                merge(a, start, middle)
+            if middle < end < b:
+                merge(middle, end, b)
+
+    for a in range(0, n, run):
+        for i in range(a + 1, min(a + run, n)):
+            j = i
+            while j > a and less(j, j - 1):
+                j -= 1
+            shift(i, j)
+    while run < n:
+        for a in range(0, n - run, 2 * run):
+            merge(a, a + run, min(a + 2 * run, n))
+        run *= 2
+    return order
 
 
 class _Inliner:
-    """Replaces local references in place, in the order in which the document holds them."""
+    """Replaces local references in place, in the order in which the document holds them.
 
-    def __init__(self, root):
-        self.root, self.flags, self.nodes = root, set(), 0
+    What is inlined already is what later references copy. ``open`` holds the references being
+    followed; the siblings of a reference are read with those that were open before it.
+    """
 
-    def find(self, pointer: str):
+    def __init__(self, root, seconds: float = REF_SECONDS):
+        self.root, self.flags, self.nodes, self.until = root, set(), 0, time.monotonic() + seconds
+
+    def target(self, ref: str):
+        """A copy of what a local reference points to; KeyError if there is none."""
         node = self.root
-        for part in pointer.removeprefix("#").split("/")[1:]:
-            part = part.replace("~1", "/").replace("~0", "~")
-            if not isinstance(node, dict) or part not in node:
-                return None, False
-            node = node[part]
-        return node, True
-
-    def walk(self, node, path: tuple[str, ...], depth: int):
+        if ref != "#":
+            start, *parts = ref[1:].split("/")
+            if start or not parts:
+                raise KeyError(ref)
+            for part in parts:
+                if not isinstance(node, dict):
+                    raise KeyError(part)
+                node = node[part.replace("~1", "/").replace("~0", "~")]
+        return _copy(node)
+
+    def walk(self, node, open_refs: frozenset[str] = frozenset(), depth: int = 0):
         self.nodes += 1
-        if depth > REF_DEPTH or self.nodes > REF_NODES:
-            self.flags.add("ref_bound")
-            return node
-        if isinstance(node, list):
-            for i, v in enumerate(node):
-                node[i] = self.walk(v, path, depth + 1)
-            return node
-        if not isinstance(node, dict):
-            return node
-        ref = node.get("$ref")
-        if type(ref) is str:
-            if not ref.startswith("#"):
-                self.flags.add("external_ref")
-                return node
-            if ref in path:
-                self.flags.add("recursive_ref")
-                return node
-            target, there = self.find(ref)
-            if not there:
-                self.flags.add("bad_pointer")
-                return node
-            target = _copy(target)
-            if not isinstance(target, dict):
-                return target
-            merged = target | {k: v for k, v in node.items() if k != "$ref"}
-            return self.walk(merged, (*path, ref), depth + 1)
-        for k in list(node):
-            node[k] = self.walk(node[k], path, depth + 1)
+        if depth > REF_DEPTH or self.nodes > REF_NODES or time.monotonic() > self.until:
+            self.flags.add(REF_BOUND)
+        elif isinstance(node, list):
+            node[:] = [self.walk(v, open_refs, depth + 1) for v in node]
+        elif isinstance(node, dict) and type(node.get("$ref")) is str:
+            return self.follow(node, open_refs, depth)
+        elif isinstance(node, dict):
+            for k, v in node.items():
+                node[k] = self.walk(v, open_refs, depth + 1)
         return node
 
+    def follow(self, node: dict, open_refs: frozenset[str], depth: int):
+        ref = node["$ref"]
+        flag = EXTERNAL_REF if not ref.startswith("#") else RECURSIVE_REF if ref in open_refs else None
+        if not flag:
+            try:
+                found = self.target(ref)
+            except KeyError:
+                flag = BAD_POINTER
+        if flag:
+            self.flags.add(flag)
+            return node
+        found = self.walk(found, open_refs | {ref}, depth + 1)
+        if isinstance(found, dict):
+            found = dict(found)
+            for k, v in node.items():
+                if k != "$ref":
+                    found[k] = self.walk(v, open_refs, depth + 1)
+        return found
+
 
 def _copy(value):
     if isinstance(value, dict):
@@ -116,17 +182,18 @@ def _copy(value):
     return [_copy(v) for v in value] if isinstance(value, list) else value
 
 
-def inline(schema) -> tuple[object, list[str]]:
+def inline(schema, seconds: float = REF_SECONDS) -> tuple[object, list[str]]:
     """The schema with local references replaced, and the flags of what could not be.
 
-    Siblings of a reference win. A recursive one stays, an external one or a bad pointer too; the
-    definitions at the root go unless something still needs them.
+    Siblings of a reference win, a target that is no object takes the place of both. A recursive one
+    stays, an external one or a bad pointer too; the definitions at the root go unless something
+    still needs them.
     """
-    work = _Inliner(schema)
-    out = work.walk(schema, (), 0)
-    if isinstance(out, dict) and not work.flags & {"recursive_ref", "ref_bound"}:
+    work = _Inliner(schema, seconds)
+    out = work.walk(schema)
+    if isinstance(out, dict) and not work.flags & {RECURSIVE_REF, REF_BOUND}:
         out = {k: v for k, v in out.items() if k not in ("$defs", "definitions")}
-    return out, [f for f in FLAGS if f in work.flags]
+    return out, [f for f in REF_FLAGS if f in work.flags]
 
 
 def properties(schema) -> list[tuple[bool, list[str], str]]:
@@ -173,11 +240,12 @@ def canonical_tool(raw: dict) -> tuple[dict, list[str]]:
                 v, found = inline(v)
                 flags |= set(found)
             tool[k] = v
-    return tool, [f for f in FLAGS if f in flags]
+    return tool, [f for f in REF_FLAGS if f in flags]
 
 
 def raw_slices(text: str) -> dict[str, str]:
-    """The exact source text of each value of a JSON object, by key."""
+    """The exact source text of each value of a JSON object, by key; ValueError if the text is anything else."""
+    parse(text)
     decoder, out = json.JSONDecoder(), {}
     at = re.compile(r"\s*").match(text, 0).end()
     if text[at : at + 1] != "{":
@@ -226,7 +294,7 @@ def _read_tool(text: str | None) -> dict:
     word = lambda k: tool[k] if type(tool.get(k)) is str else None
     return {
         "name": word("name"), "title": word("title"), "description": word("description"), "canonical": dump(tool), "input_schema": dump(tool["inputSchema"]) if "inputSchema" in tool else None,
-        "flags": flags, "excluded": bool({"external_ref", "bad_pointer"} & set(flags)), "error": None,
+        "flags": flags, "excluded": bool({EXTERNAL_REF, BAD_POINTER} & set(flags)), "error": None,
     }
 
 
@@ -263,8 +331,10 @@ def canonical(c: Column) -> Column:
     return _batched(_try(lambda x: dump(parse(x))), T.StringType())(c)
 
 
-def sorted_canonical(c: Column) -> Column:
-    return _batched(_try(lambda x: dump_sorted(parse(x))), T.StringType())(c)
+def sorted_canonical(c: Column, published: bool = False) -> Column:
+    """Compact text with sorted keys, tools by name or in the order of published digests."""
+    dumped = dump_published if published else dump_sorted
+    return _batched(_try(lambda x: dumped(parse(x))), T.StringType())(c)
 
 
 def params(c: Column) -> Column:

@@ -8,28 +8,45 @@ from pyspark.sql import functions as F
 from ..constants import DESCRIPTION_LENGTH, GRADES, LAST_GRADE, REFUSALS, SENTENCE_WORDS, STOPWORDS, WHEN_TO_USE
 
 
+#: Where a name is cut besides at signs: before a capital behind a small letter or digit, and before the last capital of a run.
+_CASE = r"(?<=[\p{Ll}\p{Nd}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
+_DIGITS = r"|(?<=\p{L})(?=\p{Nd})|(?<=\p{Nd})(?=\p{L})"
+_SIGNS = r"[^\p{L}\p{Nd}]+"
+
+
+def lowered(c: Column) -> Column:
+    """Lower case character by character: no final sigma, no dot above a dotted capital i."""
+    return F.lower(F.translate(c, "\u03a3\u0130", "\u03c3i"))
+
+
 def fragments(c: Column, digit_runs: bool = False, keep_short: bool = False) -> Column:
     """Parts of an identifier or text: cut at what is no letter or digit, and where case changes.
 
     ``digit_runs`` also cuts between letters and digits; without ``keep_short`` single characters go.
     """
-    s = F.regexp_replace(c, r"([\p{Ll}\p{Nd}])(\p{Lu})", "$1 $2")
-    s = F.regexp_replace(s, r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2")
-    if digit_runs:
-        s = F.regexp_replace(s, r"(\p{L})(\p{Nd})", "$1 $2")
-        s = F.regexp_replace(s, r"(\p{Nd})(\p{L})", "$1 $2")
+    parts = F.split(c, f"{_SIGNS}|{_CASE}{_DIGITS if digit_runs else ''}")
     least = 1 if keep_short else 2
-    return F.filter(F.split(s, r"[^\p{L}\p{Nd}]+"), lambda x: F.length(x) >= least)
+    return F.filter(parts, lambda x: F.length(x) >= least)
 
 
 def tokens(c: Column, keep_short: bool = False) -> Column:
-    return F.transform(fragments(c, keep_short=keep_short), lambda x: F.lower(x))
+    """Fragments in lower case."""
+    # the text is marked where case cuts it and lowered once, not part by part
+    marked = F.when(c.rlike(r"\p{Lu}"), lowered(F.regexp_replace(c, _CASE, " "))).otherwise(c)
+    least = 1 if keep_short else 2
+    return F.filter(F.split(marked, _SIGNS), lambda x: F.length(x) >= least)
 
 
 def content_words(c: Column) -> Column:
     """Tokens without stopwords, in order and with repetition."""
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(tokens(c), lambda x: ~F.array_contains(stop, x))
+    return F.filter(tokens(c), lambda x: ~x.isin(*STOPWORDS))
+
+
+def _any(conditions) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
 
 
 def without(words: Column, others: Column) -> Column:
@@ -63,7 +80,7 @@ def adequacy(description: Column) -> Column:
 
 def says_when(description: Column) -> Column:
     low = F.lower(F.coalesce(description, F.lit("")))
-    return F.exists(F.array(*map(F.lit, WHEN_TO_USE)), lambda k: F.contains(low, k))
+    return _any(F.contains(low, F.lit(k)) for k in WHEN_TO_USE)
 
 
 def conforming(name: Column) -> Column:
@@ -121,3 +138,9 @@ def package_name(c: Column) -> Column:
 
 def first_lines(c: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(stripped(c), "\n"), F.lit(1), F.lit(n)), " | ")
+
+
+def shortened(c: Column, most: int = 160) -> Column:
+    """The first line of several; of one line that is too long its first ``most`` characters and three dots."""
+    one = F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
+    return F.when(F.contains(c, F.lit("\n")), F.split_part(c, F.lit("\n"), F.lit(1))).otherwise(one)

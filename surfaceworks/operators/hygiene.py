@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import SIMILAR
 from ..functions import text
+from ..stash import held
 
 
 def description_dims(tools: DataFrame) -> DataFrame:
@@ -34,19 +35,27 @@ def token_sets(tools: DataFrame) -> DataFrame:
 
 
 def similar(tools: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(server, a, b, similarity): pairs of a server's tools whose sets of content words reach a Jaccard of ``least``.
+    """(server, ta, tb, a, b, similarity): pairs of a server's tools whose sets of content words reach a Jaccard of ``least``. Runs a job.
 
-    Two sets that similar share one of their first n - ceil(least * n) + 1 tokens in ascending order
-    of frequency within the server, so pairs are made by those tokens alone; sizes are compared in
-    the join, sets once for each pair that is left.
+    The sets are stashed as sorted 64-bit hashes of their words, so texts are cut once and words
+    move as numbers. Two sets that similar share one of their first n - ceil(least * n) + 1 words in
+    ascending order of frequency within the server, so pairs are made by those words alone, sizes are
+    compared in the join, and the place of the shared word bounds the overlap from above; sets are
+    compared once for each pair that is left.
     """
-    sets = token_sets(tools)
+    hashed = F.sort_array(F.transform("set", lambda w: F.xxhash64(w)))
+    sets = held(token_sets(tools).select("server", "tool", "name", "n", hashed.alias("set")), "sets")
     each = sets.select("server", "tool", "n", F.explode("set").alias("token"))
-    often = each.groupBy("server", "token").agg(F.count("*").alias("df"))
+    often = each.groupBy("server", "token").agg(F.count("*").alias("df")).where("df > 1")
+    # a word that no other tool holds makes no pair, but has its place before all others
+    shared = each.join(often, ["server", "token"])
     place = Window.partitionBy("server", "tool").orderBy("df", "token")
-    rare = each.join(often, ["server", "token"]).withColumn("k", F.row_number().over(place)).where(F.col("k") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
-    a, b = (rare.select("server", "token", F.col("tool").alias(f"t{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    fits = (F.col("ta") < F.col("tb")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))
+    held_by = Window.partitionBy("server", "tool")
+    rare = shared.withColumn("k", F.row_number().over(place) + F.col("n") - F.count("*").over(held_by)).where(F.col("k") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
+    a, b = (rare.select("server", "token", F.col("tool").alias(f"t{x}"), F.col("n").alias(f"n{x}"), F.col("k").alias(f"k{x}")) for x in "ab")
+    # the first shared word in this order leaves at most so many more in either set
+    most = F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb")) + F.least("ka", "kb")
+    fits = (F.col("ta") < F.col("tb")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb")) & (most >= F.lit(least) * (F.col("na") + F.col("nb") - most))
     pairs = a.join(b, ["server", "token"]).where(fits).select("server", "ta", "tb").distinct()
     side = lambda x: sets.select("server", F.col("tool").alias(f"t{x}"), F.col("name").alias(x), F.col("set").alias(f"s{x}"))
     full = pairs.join(side("a"), ["server", "ta"]).join(side("b"), ["server", "tb"])
@@ -55,6 +64,11 @@ def similar(tools: DataFrame, least: float = SIMILAR) -> DataFrame:
     return full.select("server", "ta", "tb", "a", "b", jaccard.alias("j")).where(F.col("j") >= F.lit(least)).select("server", "ta", "tb", "a", "b", text.rounded(F.col("j"), 4).alias("similarity"))
 
 
+def ordered_pairs(pairs: DataFrame) -> DataFrame:
+    """Similar pairs as they are listed: by similarity, largest first, then by names."""
+    return pairs.orderBy("server", F.desc("similarity"), "a", "b")
+
+
 def disambiguation(tools: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(server, disambiguation): share of tools whose name is in no similar pair; one tool alone has 100."""
     pairs = similar(tools) if pairs is None else pairs

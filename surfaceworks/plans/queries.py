@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..constants import AUTH, REFUSALS, TIMEOUT, UNREACHABLE, WHEN_TO_USE
 from ..functions import figures, ordered_json, text
-from ..operators import frames, hygiene, retrieval, stack, trials
+from ..operators import acquisition, frames, hygiene, retrieval, stack, trials
 from . import bindings as b
 from .registry import query, table
 
@@ -101,12 +101,11 @@ def bm25_idf(spark, d):
     return retrieval.term_stats(b.tools(spark, d)).withColumn("idf", text.rounded(F.col("idf"), 6))
 
 
-@query(f"WITH {b.INDEX}, queries AS (SELECT s.server, CAST(item_id AS VARCHAR) AS query, list_slice({b.sql_content('text')}, 1, 12) AS terms FROM benchmark, stats s), {b.SCORES} SELECT server, query, name, {ROUND('score', 4)} AS score, rank FROM ranked WHERE rank <= 3")
+@query(f"WITH {b.INDEX}, queries AS (SELECT s.server, CAST(item_id AS VARCHAR) AS query, {b.sql_content('text')} AS terms FROM benchmark, stats s), {b.SCORES} SELECT server, query, name, {ROUND('score', 4)} AS score, rank FROM ranked WHERE rank <= 3")
 def bm25_search_top3(spark, d):
     tools = b.tools(spark, d)
-    asked = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query"), F.slice(text.content_words(F.col("text")), F.lit(1), F.lit(12)).alias("terms"))
-    asked = asked.join(tools.select("server").distinct())  # every item is asked at every server
-    return retrieval.search(asked, tools).select("server", "query", "name", text.rounded(F.col("score"), 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query"), text.content_words(F.col("text")).alias("terms"))
+    return retrieval.search_everywhere(asked, tools).select("server", "query", "name", text.rounded(F.col("score"), 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 DERIVED = f"""bare AS (SELECT server, tool, name, list_filter({b.sql_content('description')}, lambda x: NOT list_contains({b.sql_tokens('name')}, x)) AS w FROM tools),
@@ -150,32 +149,66 @@ def request_response_pairs(spark, d):
     "SELECT user_id AS log, event_id AS line, row_number() OVER w AS seq, coalesce(lag(props) OVER w = props, false) AS is_retry FROM events WHERE event_type = 'click' WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"
 )
 def retries(spark, d):
-    return frames.retries(b.calls(spark, d), "click")
+    return frames.retries(b.calls(spark, d), "click").drop("item")
 
 
 @query(
-    f"""WITH {b.TALK}, named AS (SELECT t.log, t.kind, t.bytes, CASE WHEN t.kind = 'request' THEN t.method WHEN e.before = 'request' THEN e.before_method ELSE '(unmatched)' END AS m
-  FROM talk t JOIN events e ON t.log = e.log AND t.line = e.line WHERE t.kind <> 'notification')
-SELECT log, m AS method, count(*) FILTER (kind = 'request') AS requests, count(*) FILTER (kind = 'response') AS responses,
-  CAST(coalesce(sum(bytes) FILTER (kind = 'request'), 0) AS BIGINT) AS request_bytes, CAST(coalesce(sum(bytes) FILTER (kind = 'response'), 0) AS BIGINT) AS response_bytes FROM named GROUP BY log, m"""
+    f"""WITH {b.TALK}, named AS (SELECT t.*, CASE WHEN t.kind <> 'response' THEN t.method WHEN e.before = 'request' THEN e.before_method ELSE '(unmatched)' END AS m
+  FROM talk t LEFT JOIN events e ON t.log = e.log AND t.line = e.line)
+SELECT log, m AS method, count(*) FILTER (kind = 'request') AS requests, count(*) FILTER (kind = 'notification') AS notifications, count(*) FILTER (kind = 'response') AS responses,
+  count(*) FILTER (is_rpc_error) AS errors, count(*) FILTER (is_tool_error) AS tool_errors, CAST(coalesce(sum(bytes) FILTER (kind <> 'response'), 0) AS BIGINT) AS params_bytes,
+  CAST(coalesce(sum(tokens) FILTER (kind <> 'response'), 0) AS BIGINT) AS params_tokens, CAST(coalesce(sum(bytes) FILTER (kind = 'response'), 0) AS BIGINT) AS result_bytes FROM named GROUP BY log, m"""
 )
 def method_stats(spark, d):
     return frames.method_stats(b.talk(spark, d))
 
 
+CALLS = """calls AS (SELECT log, line, tool, bytes, tokens, coalesce(lag(params) OVER (PARTITION BY log ORDER BY line) = params, false) AS again, row_number() OVER (PARTITION BY log ORDER BY line) AS seq FROM talk WHERE kind = 'request')"""
+
+
 @query(
-    f"""WITH {b.TALK}, calls AS (SELECT log, coalesce(lag(params) OVER (PARTITION BY log ORDER BY line) = params, false) AS again FROM talk WHERE kind = 'request'),
-r AS (SELECT log, count(*) FILTER (again) AS retries FROM calls GROUP BY log),
-s AS (SELECT log, count(*) FILTER (kind = 'response' AND before = 'request') AS matched, count(*) FILTER (kind = 'response' AND before IS DISTINCT FROM 'request') AS unmatched_responses,
-  count(*) FILTER (kind = 'request' AND before = 'request') AS duplicate_request_ids, count(*) FILTER (kind = 'request' AND after IS NULL) AS unmatched_requests FROM events GROUP BY log)
-SELECT t.log, count(*) AS frames, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS messages, count(*) FILTER (kind = 'request') AS requests, count(*) FILTER (kind = 'response') AS responses,
-  count(*) FILTER (kind = 'notification') AS notifications, count(*) FILTER (method = 'tools/call') AS tool_calls, count(*) FILTER (kind = 'response' AND is_error) AS errors,
-  coalesce(any_value(matched), 0) AS matched, coalesce(any_value(unmatched_responses), 0) AS unmatched_responses, coalesce(any_value(duplicate_request_ids), 0) AS duplicate_request_ids,
-  coalesce(any_value(unmatched_requests), 0) AS unmatched_requests, coalesce(any_value(retries), 0) AS retries
-FROM talk t LEFT JOIN s ON t.log = s.log LEFT JOIN r ON t.log = r.log GROUP BY t.log"""
+    f"""WITH {b.TALK}, {CALLS}, r AS (SELECT log, count(*) FILTER (again) AS retries FROM calls GROUP BY log),
+s AS (SELECT log, count(*) FILTER (kind = 'response' AND before IS DISTINCT FROM 'request') AS unmatched_responses, count(*) FILTER (kind = 'request' AND before = 'request') AS duplicate_request_ids,
+  count(*) FILTER (kind = 'request' AND after IS NULL) AS unmatched_requests, count(*) FILTER (kind = 'response' AND before = 'request') AS tool_responses,
+  count(full_tokens) FILTER (kind = 'response' AND before = 'request') AS full_results, coalesce(sum(bytes) FILTER (kind = 'response' AND before = 'request'), 0) AS result_bytes,
+  sum(full_tokens) FILTER (kind = 'response' AND before = 'request') AS result_tokens FROM events GROUP BY log),
+t AS (SELECT log, count(*) AS frames, count(*) FILTER (dir = 'c2s') AS frames_c2s, count(*) FILTER (dir = 's2c') AS frames_s2c, sum(bytes) AS bytes, coalesce(sum(bytes) FILTER (dir = 'c2s'), 0) AS bytes_c2s,
+  coalesce(sum(bytes) FILTER (dir = 's2c'), 0) AS bytes_s2c, count(*) FILTER (kind = 'request') AS requests, count(*) FILTER (kind = 'notification') AS notifications, count(*) FILTER (kind = 'response') AS responses,
+  coalesce(sum(bytes) FILTER (kind = 'request'), 0) AS arg_bytes, coalesce(sum(tokens) FILTER (kind = 'request'), 0) AS arg_tokens,
+  count(*) FILTER (is_rpc_error) AS jsonrpc_errors, count(*) FILTER (is_tool_error) AS tool_errors FROM talk GROUP BY log)
+SELECT t.log, frames, frames_c2s, frames_s2c, CAST(bytes AS BIGINT) AS bytes, CAST(bytes_c2s AS BIGINT) AS bytes_c2s, CAST(bytes_s2c AS BIGINT) AS bytes_s2c, 0 AS batch_frames, 0 AS batch_messages, requests, notifications, responses,
+  requests AS tool_calls, CAST(arg_bytes AS BIGINT) AS tool_call_arg_bytes, CAST(arg_tokens AS BIGINT) AS tool_call_arg_tokens, CAST(coalesce(result_bytes, 0) AS BIGINT) AS tool_call_result_bytes,
+  CASE WHEN tool_responses > 0 AND tool_responses = full_results THEN CAST(result_tokens AS BIGINT) END AS tool_call_result_tokens, jsonrpc_errors, tool_errors, coalesce(retries, 0) AS retries,
+  coalesce(unmatched_requests, 0) AS unmatched_requests, coalesce(unmatched_responses, 0) AS unmatched_responses, coalesce(duplicate_request_ids, 0) AS duplicate_request_ids,
+  0 AS unparseable_lines, 0 AS unparseable_frames, 0 AS unrecognized_lines
+FROM t LEFT JOIN s ON t.log = s.log LEFT JOIN r ON t.log = r.log"""
 )
 def frame_totals(spark, d):
-    return frames.totals(b.talk(spark, d))
+    return frames.totals(b.talk(spark, d)).drop("tool_responses", "full_results")
+
+
+@query(
+    f"""WITH {b.TALK}, {CALLS} SELECT c.log, c.seq, c.tool, c.bytes AS arg_bytes, c.tokens AS arg_tokens, c.again AS retry, after IS NOT DISTINCT FROM 'response' AS answered,
+  CASE WHEN after = 'response' THEN after_bytes END AS result_bytes, CASE WHEN after = 'response' THEN after_tokens END AS result_tokens, CASE WHEN after = 'response' THEN after_error END AS is_tool_error,
+  CASE WHEN after = 'response' THEN CAST((after_ts - ts_ns) // 1000000 AS BIGINT) END AS latency_ms FROM calls c JOIN events e ON c.log = e.log AND c.line = e.line"""
+)
+def tool_calls(spark, d):
+    rows = frames.tool_calls(b.talk(spark, d))
+    return rows.select("log", "seq", "tool", "arg_bytes", "arg_tokens", "retry", F.col("response").isNotNull().alias("answered"), "response.result_bytes", "response.result_tokens", "response.is_tool_error", "response.latency_ms")
+
+
+@query(
+    f"""WITH {b.TALK}, w AS (SELECT log, line, CASE WHEN kind = 'request' AND before = 'request' THEN 'line ' || line + 1 || ': request id 1 reused before the earlier one was answered'
+  WHEN kind = 'response' AND before IS DISTINCT FROM 'request' THEN 'line ' || line + 1 || ': response id 1 has no logged request' END AS warning FROM events
+  UNION ALL SELECT log, 2000000, 'result tokens unavailable: ' || count(full_tokens) || ' of ' || count(*) || ' tool-call responses carry result_full; rerun the interposer with --full-results to measure them'
+    FROM events WHERE kind = 'response' AND before = 'request' GROUP BY log HAVING count(full_tokens) < count(*)
+  UNION ALL SELECT DISTINCT log, 2000001, 'log has no header line, so interposer_version is unknown; section 5 withholds a result missing a version stamp' FROM talk)
+SELECT log, string_agg(warning, '|' ORDER BY line) AS warnings, count(*) AS n FROM w WHERE warning IS NOT NULL GROUP BY log"""
+)
+def frame_warnings(spark, d):
+    talk = b.talk(spark, d)
+    lines = frames.lines_of(talk).select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in (("interposer_version", "string"), ("started_at", "string"), ("server_cmd", "array<string>"))])
+    return frames.warnings(frames.found_warnings(talk, lines)).select("log", F.array_join("warnings", "|").alias("warnings"), F.size("warnings").cast("long").alias("n"))
 
 
 @query("SELECT user_id AS log, arg_min(epoch_us(ts), event_id) * 1000 AS first_ts_ns, arg_max(epoch_us(ts), event_id) * 1000 AS last_ts_ns, CAST(trunc((arg_max(epoch_us(ts), event_id) - arg_min(epoch_us(ts), event_id)) / CAST(1000 AS DOUBLE)) AS BIGINT) AS wall_ms FROM events GROUP BY user_id")
@@ -216,6 +249,41 @@ def cell_stats(spark, d):
     return trials.cells(_last(spark, d), ("chars",))
 
 
+NOW = """now AS (SELECT *, coalesce(client_json_valid, false) IS NOT TRUE OR (client = 'gemini' AND client_error_text IS NOT NULL) AS client_reported_error FROM last_rows),
+classed AS (SELECT *, CASE WHEN coalesce(success, false) AND calls > 0 THEN 'tool_use_success' WHEN coalesce(success, false) THEN 'answered_without_tools' WHEN client_reported_error THEN 'client_error'
+  WHEN calls > 0 THEN 'tool_use_failed' WHEN refused THEN 'declined' ELSE 'failed_no_tool_use' END AS classification FROM now)"""
+
+
+@query(
+    f"""WITH {LAST}, {NOW}, kinds AS (SELECT suite_version, server, client, task, string_agg(classification || '=' || n, ',' ORDER BY classification) AS classifications
+  FROM (SELECT suite_version, server, client, task, classification, count(*) AS n FROM classed GROUP BY ALL) GROUP BY ALL)
+SELECT c.suite_version, c.server, c.client, c.task, arg_min(model, suite_seq * 100 + trial) AS model, arg_min(coalesce(server_image_digest, '-'), suite_seq * 100 + trial) AS digest, count(*) AS trials,
+  count(*) FILTER (success) AS successes, count(*) FILTER (success IS DISTINCT FROM true) AS failures, count(*) FILTER (timed_out) AS timed_out_trials, count(*) FILTER (client_json_valid IS DISTINCT FROM true) AS client_json_invalid_trials,
+  count(*) FILTER (client_reported_error) AS client_reported_error_trials, count(*) FILTER (permission_denials > 0) AS permission_denial_trials, count(extra_path) AS fixture_extra_path_trials, count(*) FILTER (harness_suspect) AS harness_suspect_trials,
+  any_value(k.classifications) AS classifications, count(chars) AS chars_n, median(chars) AS chars_median, min(chars) AS chars_min, max(chars) AS chars_max,
+  coalesce(string_agg(chars, ',' ORDER BY suite_seq, trial), '') AS chars_values, coalesce(string_agg(DISTINCT extra_path, ',' ORDER BY extra_path), '') AS extra_paths, string_agg(line_no, ',' ORDER BY suite_seq, trial) AS series
+FROM classed c JOIN kinds k ON c.suite_version = k.suite_version AND c.server = k.server AND c.client = k.client AND c.task = k.task GROUP BY ALL"""
+)
+def cell_rollup(spark, d):
+    rows = trials.reclassified(_last(spark, d)).withColumn("server_image_digest", F.coalesce("server_image_digest", F.lit("-")))
+    out = trials.rollup(rows, ("chars",), series=("line_no",), unions_of=("fixture_extra_paths",))
+    text_of = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    kinds = F.array_join(F.transform(F.array_sort(F.map_entries("classifications")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    plain = ["suite_version", "server", "client", "task", "model", F.col("server_image_digest").alias("digest"), "trials", "successes", "failures", "timed_out_trials", "client_json_invalid_trials", "client_reported_error_trials"]
+    more = ["permission_denial_trials", "fixture_extra_path_trials", "harness_suspect_trials", kinds.alias("classifications"), *[F.col(f"chars.{c}").alias(f"chars_{c}") for c in ("n", "median", "min", "max")]]
+    return out.select(*plain, *more, text_of(F.col("chars.values")).alias("chars_values"), F.array_join("fixture_extra_paths", ",").alias("extra_paths"), text_of(F.col("per_trial.line_no")).alias("series"))
+
+
+@query(
+    f"""WITH {b.TRIALS} SELECT count(*) - count(DISTINCT (suite_version, server, client, task, trial)) AS superseded_trial_rows, string_agg(DISTINCT suite_version, ',') AS suite_versions, count(DISTINCT suite_version) > 1 AS mixed_suite_versions,
+  (SELECT bool_or(l_returnflag = 'R') FROM lineitem WHERE l_orderkey < 50) AS version_drift, (SELECT count(*) FILTER (l_returnflag = 'R') FROM lineitem WHERE l_orderkey < 50) AS n_drifted FROM trials"""
+)
+def run_flags(spark, d):
+    footers = table(spark, d, "lineitem").where("l_orderkey < 50").select(F.col("l_orderkey").alias("run_id"), (F.col("l_returnflag") == "R").alias("version_drift"))
+    out = trials.flags(b.trials(spark, d), footers)
+    return out.select("superseded_trial_rows", F.array_join("suite_versions", ",").alias("suite_versions"), "mixed_suite_versions", "version_drift", F.size("drifted_runs").cast("long").alias("n_drifted"))
+
+
 @query(
     f"""WITH {LAST} SELECT CASE WHEN grouping(server) = 1 AND grouping(client) = 1 THEN 'all' WHEN grouping(client) = 1 THEN 'by_server' ELSE 'by_client' END AS level, server, client,
   count(*) AS trials, count(*) FILTER (success) AS successes FROM last_rows GROUP BY GROUPING SETS ((), (server), (client))"""
@@ -250,7 +318,7 @@ def trial_matrix(spark, d):
 
 
 def _moded(spark, d):
-    return stack.by_mode(b.stack_rows(spark, d))
+    return stack.by_mode(b.stack_rows(spark, d), b.RUN_DATE)
 
 
 @query(f"WITH {b.MODED} SELECT stack, mode, kind, servers, excluded, total, low, high, {ROUND(f'total / {D(200000)} * {D(100)}', 6)} AS window_percent FROM sums")
@@ -260,18 +328,20 @@ def stack_totals(spark, d):
 
 @query(
     f"""WITH {b.MODED} SELECT stack, mode, server, tokens, {ROUND(f"CASE WHEN sum(tokens) OVER w = 0 THEN 0 ELSE tokens / CAST(sum(tokens) OVER w AS DOUBLE) END", 6)} AS fraction,
-  {ROUND(f"tokens / CAST(greatest(max(tokens) OVER w, 1) AS DOUBLE)", 6)} AS bar FROM moded WHERE reason IS NULL WINDOW w AS (PARTITION BY stack, mode)"""
+  {ROUND(f"tokens / CAST(greatest(max(tokens) OVER w, 1) AS DOUBLE)", 6)} AS bar, row_number() OVER (PARTITION BY stack, mode ORDER BY tokens DESC, server) AS place FROM moded WHERE reason IS NULL WINDOW w AS (PARTITION BY stack, mode)"""
 )
 def stack_attribution(spark, d):
     return stack.attribution(_moded(spark, d)).withColumn("fraction", text.rounded(F.col("fraction"), 6)).withColumn("bar", text.rounded(F.col("bar"), 6))
 
 
-PRICES = [("large", 15.0, 1.25, 0.1, 1024), ("small", 0.8, 1.0, 0.25, None)]
+PRICES = [("openai_o200k", 15.0, 1.25, 0.1, 1024), ("claude", 0.8, 1.0, 0.25, None)]
 
 
 @query(
-    f"""WITH {b.MODED}, prices(model, price, write, read, least) AS (VALUES ('large', {D(15)}, {D(1.25)}, {D(0.1)}, 1024), ('small', {D(0.8)}, {D(1)}, {D(0.25)}, NULL))
-SELECT stack, mode, model, total, {ROUND(f"total * price / {D(1000000)} * write", 8)} AS cold, {ROUND(f"total * price / {D(1000000)} * read", 8)} AS cached, least IS NULL OR total >= least AS achievable FROM sums, prices"""
+    f"""WITH {b.MODED}, models(model) AS (VALUES ('openai_o200k'), ('claude'), ('gemini')),
+prices(model, price, write, read, least) AS (VALUES ('openai_o200k', {D(15)}, {D(1.25)}, {D(0.1)}, 1024), ('claude', {D(0.8)}, {D(1)}, {D(0.25)}, NULL))
+SELECT stack, mode, m.model, total, {ROUND(f"total * (price / {D(1000000)}) * write", 8)} AS cold, {ROUND(f"total * (price / {D(1000000)}) * read", 8)} AS cached,
+  CASE WHEN price IS NOT NULL THEN least IS NULL OR total >= least END AS achievable, price IS NULL AS pricing_unavailable FROM sums, models m LEFT JOIN prices p ON m.model = p.model"""
 )
 def stack_dollars(spark, d):
     prices = spark.createDataFrame(PRICES, "model string, price double, write double, read double, least long")
@@ -298,12 +368,10 @@ def leaderboard_sorted(spark, d):
     line = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 45")
     used = line.groupBy("l_suppkey").agg(F.sum("l_quantity").cast("long").alias("naive"), F.countDistinct("l_partkey").alias("tools"))
     rows = table(spark, d, "supplier").join(used, F.col("s_suppkey") == F.col("l_suppkey"), "left")
-    per_tool = F.when(F.col("tools") > 0, figures.js_round(F.col("naive") / F.col("tools")).cast("long"))
-    rows = rows.select(F.col("s_suppkey").alias("server"), F.col("naive").isNotNull().alias("data_ok"), "naive", per_tool.alias("per_tool"))
-    from pyspark.sql import Window
-
-    order = Window.orderBy(F.desc("data_ok"), F.desc_nulls_last("per_tool"), "server")  # one row per server: a small dimension
-    return rows.withColumn("place", F.row_number().over(order).cast("long"))
+    status = F.when(F.col("naive").isNotNull(), "ok").otherwise("unreachable")
+    rows = rows.select(F.col("s_suppkey").alias("server"), status.alias("status"), F.lit(None).cast("boolean").alias("available"), F.col("naive").alias("total"), F.col("tools").alias("tool_count"))
+    rows = stack.leaderboard_columns(rows).select("server", "data_ok", "naive", "per_tool")
+    return stack.with_place(rows, [~F.col("data_ok"), F.coalesce(-F.col("per_tool"), F.lit(2**62)), F.col("server")])
 
 
 ERRORS = ("ok", "dial tcp: connection refused", "context deadline exceeded", "HTTP 403 Forbidden", "unexpected end of JSON")
@@ -325,7 +393,7 @@ def failure_classifier(spark, d):
 def failures_by_class(spark, d):
     rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
     status = F.when(F.col("quality").isNull(), "unreachable").when(F.col("quality") == 0, "auth").otherwise("ok")
-    return rows.select(status.alias("status")).where("status <> 'ok'").groupBy("status").agg(F.count("*").alias("n"))
+    return stack.failures(rows.select(status.alias("status")))
 
 
 @query(
@@ -352,8 +420,10 @@ def refusal_markers(spark, d):
 @query("SELECT c_mktsegment AS path, CAST(c_nationkey AS BIGINT) AS n FROM customer EXCEPT ALL SELECT c_mktsegment, CAST(s_nationkey AS BIGINT) FROM supplier, (SELECT DISTINCT c_mktsegment FROM customer)")
 def path_except(spark, d):
     c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("path"), F.col("c_nationkey").cast("long").alias("n"))
-    s = table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("n"))
-    return c.exceptAll(c.select("path").distinct().join(s).select("path", "n"))
+    paths = F.array_sort(F.collect_set("path")).alias("paths")  # five segments
+    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("n")).agg(F.count("*").alias("times"))
+    allowed = s.crossJoin(F.broadcast(c.agg(paths))).select("n", "times", F.explode("paths").alias("path"))
+    return acquisition.extra_paths(c, allowed.select("path", "n", "times"), ("path", "n"))
 
 
 @query("SELECT p_partkey, regexp_replace(lower(trim(replace(p_name, ' ', '._'))), '[-_.]+', '-', 'g') AS package FROM part")
@@ -383,29 +453,3 @@ PARAMS_SQL = "SELECT event_id, '{' || chr(34) || 'event' || chr(34) || ':' || ch
 def params_canonical(spark, d):
     raw = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "event": "'), F.col("event_type"), F.lit('"}'))
     return table(spark, d, "events").select("event_id", ordered_json.params(raw).alias("params"))
-
-
-def _tool_json(spark, d):
-    """Parts as tools: a schema with a referenced definition, an enum and a nested object."""
-    schema = (
-        '{"type":"object","properties":{"size":{"$ref":"#/$defs/size"},"brand":{"type":"string","description":"%s"},"shape":{"type":"object","properties":{"kind":{"enum":["round","flat"]}}}},'
-        '"$defs":{"size":{"type":"integer","description":"Size, up to %d."}}}'
-    )
-    tool = '{"name":"part_%d","extra":1,"description":"Looks up a part by its name.","inputSchema":' + schema + "}"
-    return table(spark, d, "part").select("p_partkey", F.format_string(tool, F.col("p_partkey"), F.col("p_brand"), F.col("p_size")).alias("tool"))
-
-
-@query(
-    """SELECT p_partkey, replace('{%name%:%part_' || p_partkey || '%,%description%:%Looks up a part by its name.%,%inputSchema%:{%type%:%object%,%properties%:{%size%:{%type%:%integer%,%description%:%Size, up to ' || p_size
-  || '.%},%brand%:{%type%:%string%,%description%:%' || p_brand || '%},%shape%:{%type%:%object%,%properties%:{%kind%:{%enum%:[%round%,%flat%]}}}}}}', '%', chr(34)) AS canonical, 0 AS n_flags FROM part"""
-)
-def canonical_json(spark, d):
-    t = _tool_json(spark, d).select("p_partkey", ordered_json.read_tool(F.col("tool")).alias("t"))
-    return t.select("p_partkey", "t.canonical", F.size("t.flags").alias("n_flags"))
-
-
-@query("SELECT p_partkey, CAST(4 AS BIGINT) AS n, CAST(2 AS BIGINT) AS described, CAST(1 AS BIGINT) AS enums FROM part")
-def schema_walk(spark, d):
-    schema = ordered_json.read_tool(F.col("tool"))["input_schema"]
-    p = _tool_json(spark, d).select("p_partkey", F.explode(ordered_json.schema_properties(schema)).alias("p"))
-    return p.groupBy("p_partkey").agg(F.count("*").alias("n"), F.count_if("p.described").alias("described"), F.count_if(F.size("p.enum") > 0).alias("enums"))

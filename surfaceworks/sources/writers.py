@@ -11,6 +11,17 @@ def server_documents(rows: DataFrame, path: str) -> None:
     rows.repartition("run_date", "server_id").write.mode("overwrite").partitionBy("run_date", "server_id").json(path, ignoreNullFields=False)
 
 
+def latest(rows: DataFrame, path: str) -> None:
+    """The newest date's rows once more, as <path>/latest, for readers that want no date."""
+    newest = rows.agg(F.max("run_date").alias("run_date"))
+    rows.join(F.broadcast(newest), "run_date").write.mode("overwrite").json(f"{path}/latest", ignoreNullFields=False)
+
+
+def trial_reports(reports: DataFrame, path: str) -> None:
+    """Reports of ``frames.reports``, one JSON document per log."""
+    reports.withColumn("of", F.regexp_extract("log", "([^/]+)$", 1)).repartition("of").write.mode("overwrite").partitionBy("of").json(path, ignoreNullFields=False)
+
+
 def query_sets(rows: DataFrame, path: str) -> None:
     """Query sets of the servers that have one."""
     server_documents(rows.where("queries is not null"), path)

@@ -12,18 +12,26 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 MATCH = "log string, key_dir string, id string, request_line long, response_line long, method string, latency_ms long"
 STATE = "line long, method string, ts_ns long"
+COLUMNS = ["log", "key_dir", "id", "request_line", "response_line", "method", "latency_ms"]
 
 
-def correlate(messages: DataFrame) -> DataFrame:
+def correlate(messages: DataFrame, idle: int | None = None) -> DataFrame:
     """Matched pairs of a stream of messages, with one pending request as the state of each (log, direction, id).
 
-    A later request takes the place of a pending one; a response takes it away. State of a key that
-    nothing ever answers stays until the stream's checkpoint is dropped, as a log has no end.
+    A later request takes the place of a pending one; a response takes it away. A log's messages must
+    come in order from batch to batch; within one they are sorted. With ``idle``, in milliseconds, a
+    request that waits so long without a message of its key is given out with null response_line and
+    leaves the state, as at the end of a log; else it stays.
     """
     key = F.when(F.col("kind") == "request", F.when(F.col("dir") == "c2s", "s2c").otherwise("c2s")).otherwise(F.col("dir"))
     events = messages.where("id is not null and kind in ('request', 'response')").withColumn("key_dir", key)
 
     def step(group, batches, state):
+        if state.hasTimedOut:
+            line, method, _ = state.get
+            state.remove()
+            yield pd.DataFrame([(*group, line, None, method, None)], columns=COLUMNS).astype({"response_line": "Int64", "latency_ms": "Int64"})
+            return
         rows = pd.concat(list(batches)).sort_values(["line", "item"])
         pending = state.get if state.exists else None
         out = []
@@ -38,10 +46,12 @@ def correlate(messages: DataFrame) -> DataFrame:
                 state.remove()
         else:
             state.update(pending)
-        yield pd.DataFrame(out, columns=["log", "key_dir", "id", "request_line", "response_line", "method", "latency_ms"])
+            if idle:
+                state.setTimeoutDuration(int(idle))
+        yield pd.DataFrame(out, columns=COLUMNS)
 
     slim = events.select(F.col("log").cast("string").alias("log"), "key_dir", "id", "line", "item", "kind", "method", "ts_ns")
-    return slim.groupBy("log", "key_dir", "id").applyInPandasWithState(step, MATCH, STATE, "append", GroupStateTimeout.NoTimeout)
+    return slim.groupBy("log", "key_dir", "id").applyInPandasWithState(step, MATCH, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
 def counts_by_window(messages: DataFrame, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
@@ -51,16 +61,18 @@ def counts_by_window(messages: DataFrame, width: str = "1 minute", late: str = "
 
 
 def append_new(path: str, key: list[str]):
-    """For foreachBatch: appends the rows whose key the table at ``path`` doesn't hold yet."""
+    """For foreachBatch: appends the rows whose key the table at ``path`` doesn't hold yet.
 
-    def write(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates(key)
-        try:
-            done = batch.sparkSession.read.schema(batch.schema).parquet(path).select(*key).distinct()
+    Every batch writes a folder of its own, by its id: one that is written again after a failure
+    replaces what it left, and only the keys of other batches are read.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, fresh = batch.sparkSession, batch.dropDuplicates(key)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            done = spark.read.schema(batch.select(*key).schema.add("batch_id", "long")).parquet(path).where(F.col("batch_id") != batch_id).select(*key).distinct()
             fresh = fresh.join(done, key, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(path)
+        fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return write

@@ -9,6 +9,9 @@ YAML = """servers:
   - {id: c, transport: [stdio], package: {stdio: {type: docker, image: "x@sha256:00"}}}
   - {id: d, transport: [sse], endpoint: "https://d.example", auth: {token_env: D_TOKEN}, flags: [{z: 1, a: x}]}
   - {id: e, auth: {required: true}}
+  - {id: f, package: {stdio: {type: uvx, name: tool, version: "2", with: ["x<1", "y"]}}, auth: {required: false}}
+excluded:
+  - {id: z, name: Z, reason: paid, rationale: "no free tier"}
 """
 
 
@@ -18,9 +21,16 @@ def test_launches_and_credentials(spark, tmp_path):
     got = {r.id: r for r in A.launches(corpus, "/w").collect()}
     assert (got["a"].source, got["a"].command, got["a"].args, got["a"].pinned) == ("npm:pkg@1.2", "npx", ["-y", "pkg@1.2", "/w"], True)
     assert (got["b"].transport, got["b"].source) == ("remote", "endpoint:https://b.example") and got["c"].pinned
-    assert got["d"].error.startswith("only the deprecated") and got["e"].error == "acquisition spec unresolved"
+    assert got["d"].error == "only the deprecated HTTP+SSE transport is declared, which the harness does not support" and got["e"].error == "acquisition spec unresolved in the corpus"
+    assert got["a"].recorded == ["-y", "pkg@1.2", "{{SCRATCH}}"] and (got["a"].deps.method, got["c"].deps.method, got["b"].deps.method) == ("npx_node_modules_walk", "container_image", "not_applicable")
+    assert (got["f"].source, got["f"].args) == ("pypi:tool==2 --with x<1 --with y", ["--with", "x<1", "--with", "y", "tool==2"]) and got["b"].deps.note.startswith("remote transport")
     c = {r.id: (r.present, r.error is None) for r in A.credentials(corpus, {"B_TOKEN": "x"}).collect()}
-    assert c == {"a": (False, True), "b": (True, True), "c": (False, False), "d": (False, False), "e": (False, False)}
+    assert c == {"a": (False, True), "b": (True, True), "c": (False, False), "d": (False, False), "e": (False, False), "f": (False, True)}
+    assert [(r.id, r.reason) for r in readers.excluded(spark, f"file://{tmp_path}/s.yaml").collect()] == [("z", "paid")]
+    listed = spark.createDataFrame([("a", '{"prefix":"/x","packages":[["@modelcontextprotocol/sdk","1.0"]]}'), ("f", "boom")], "id string, out string").select("id", A.dependency_listing(F.col("out")).alias("listed"))
+    record = {r.id: r.acquisition for r in A.acquisitions(A.launches(corpus, "/w"), A.credentials(corpus, {"B_TOKEN": "x"}), listed, "2026-01-01T00:00:00Z").collect()}
+    assert record["a"].resolved_deps.sdk.version == "1.0" and record["a"].args[-1] == "{{SCRATCH}}" and record["b"].env_passed == ["B_TOKEN"] and set(record) == {"a", "b", "c", "f"}
+    assert record["f"].resolved_deps.error == "no dependency listing found in 1 lines of output" and record["f"].resolved_deps.packages is None
     assert corpus.where("id = 'd'").select(readers.flag_lines(F.col("flags"))).first()[0] == ["a: x", "z: 1"]
     assert [r.id for r in readers.chosen(corpus, ["a", "b"], ["b"]).collect()] == ["a"]
 
@@ -29,7 +39,7 @@ def test_listing(spark):
     out = ['{"prefix":"old","packages":[]}\nnotice\n{"prefix":"p","packages":[["My_Pkg","1"],["b","2"]]}\nbye', "{}\nnothing", '{"packages":[["x"]]}', None]
     rows = spark.createDataFrame([(o,) for o in out], "o string").select(A.dependency_listing(F.col("o")).alias("d")).select("d.*").collect()
     assert (rows[0].prefix, len(rows[0].packages), rows[0].error) == ("p", 2, None)
-    assert [r.error for r in rows[1:]] == ["no dependency listing found", "dependency listing carried a malformed entry", "no dependency listing found"]
+    assert [r.error for r in rows[1:]] == ["no dependency listing found in 2 lines of output", "dependency listing carried a malformed entry: [x]", "no dependency listing found in 1 lines of output"]
     hit = spark.createDataFrame([(out[0],)], "o string").select(A.find_package(A.dependency_listing(F.col("o"))["packages"], F.lit("my.pkg")).alias("p")).first().p
     assert hit.version == "1"
 

@@ -1,3 +1,5 @@
+import time
+
 from surfaceworks.operators import frames
 from surfaceworks.streaming import frame_stream
 
@@ -19,6 +21,19 @@ def test_stream_matches_as_the_batch_does(spark, tmp_path):
 
 def test_append_writes_a_key_once(spark, tmp_path):
     write = frame_stream.append_new(f"{tmp_path}/t", ["k"])
-    for i, ks in enumerate(([1, 2, 2], [2, 3])):
+    for i, ks in ((0, [1, 2, 2]), (1, [2, 3]), (1, [2, 3]), (0, [1, 2, 2])):  # a batch that is written again replaces itself
         write(spark.createDataFrame([(k,) for k in ks], "k int"), i)
     assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/t").collect()) == [1, 2, 3]
+
+
+def test_a_log_that_goes_idle_gives_out_what_was_never_answered(spark, tmp_path):
+    df = spark.createDataFrame([("l", 0, 0, "c2s", "request", "1", "m", 0), ("l", 1, 0, "c2s", "request", "2", "m", 0), ("l", 2, 0, "s2c", "response", "2", None, 10**9)], SCHEMA)
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+    q = frame_stream.correlate(stream, idle=1).writeStream.format("memory").queryName("ended").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="100 milliseconds").start()
+    for _ in range(200):
+        time.sleep(0.2)
+        if spark.table("ended").count() == 2:
+            break
+    q.stop()
+    assert {(r.request_line, r.response_line) for r in spark.table("ended").collect()} == {(0, None), (1, 2)}

@@ -19,6 +19,7 @@ def test_bm25_by_hand(spark):
     docs = spark.createDataFrame([("s", 0, "alpha", "read file"), ("s", 1, "beta", "write file"), ("s", 2, "gamma", "read file contents disk quickly")], "server string, tool long, name string, descriptor string")
     asked = spark.createDataFrame([("s", "q", ["read", "disk"])], "server string, query string, terms array<string>")
     got = {r.name: r.score for r in retrieval.scores(asked, docs).collect()}
+    # fixed figures, computed by hand
     assert got == pytest.approx({"alpha": 0.5442147286003255, "gamma": 1.1399401217737202}, abs=1e-12)
 
 
@@ -62,9 +63,25 @@ def inline(text):
 def test_references():
     assert inline('{"properties":{"a":{"$ref":"#/$defs/x","description":"own"}},"$defs":{"x":{"type":"string","description":"theirs"}}}') == ('{"properties":{"a":{"type":"string","description":"own"}}}', [])
     out, flags = inline('{"$ref":"#/$defs/n","$defs":{"n":{"properties":{"next":{"$ref":"#/$defs/n"}}}}}')
-    assert flags == ["recursive_ref"] and '"$defs"' in out
-    assert inline('{"a":{"$ref":"http://x/y"}}')[1] == ["external_ref"]
-    assert inline('{"a":{"$ref":"#/no"}}')[1] == ["bad_pointer"]
+    assert flags == ["recursive_ref_unresolved"] and '"$defs"' in out
+    assert inline('{"a":{"$ref":"http://x/y"}}')[1] == ["external_ref_unresolvable"]
+    for pointer in ("#/no", "#anchor", "#/list/0"):
+        assert inline('{"a":{"$ref":"%s"},"list":[1]}' % pointer)[1] == ["internal_ref_unresolvable"]
+    # a sibling may refer to what its neighbour refers to
+    assert inline('{"p":{"$ref":"#/$defs/a","not":{"$ref":"#/$defs/a"}},"$defs":{"a":{"type":"string"}}}') == ('{"p":{"type":"string","not":{"type":"string"}}}', [])
+    # a target that is an array is walked and takes the place of the reference and its siblings
+    assert inline('{"p":{"$ref":"#/$defs/l","x":1},"$defs":{"l":[{"$ref":"#/$defs/s"}],"s":{"type":"null"}}}') == ('{"p":[{"type":"null"}]}', [])
+    assert J.inline(J.parse('{"a":{}}'), seconds=-1.0)[1] == ["ref_resolution_bound_exceeded"]
+
+
+def test_published_order():
+    assert J._published_order(list("abc")) == [0, 1, 2] and J._published_order(["b", "a"]) == [1, 0]
+    # names stay where they are while elements move, so what follows a moved element is compared with the wrong name
+    assert J._published_order(list("cab")) == [1, 0, 2]
+    names = [f"{(i * 7) % 50:02}" for i in range(50)]
+    order = J._published_order(names)
+    assert sorted(order) == list(range(50)) and J._published_order(sorted(names)) == list(range(50))
+    assert J.dump_published(J.parse('[{"name":"b"},{"name":"a","z":1,"b":2}]')) == '[{"b":2,"name":"a","z":1},{"name":"b"}]'
 
 
 def test_schema_walk():
@@ -75,6 +92,9 @@ def test_schema_walk():
 def test_params_and_slices():
     assert J.canonical_params('{"b":1.0,"a":2}') == '{"a":2,"b":1.0}' and J.canonical_params("{") == "{" and J.canonical_params(None) == ""
     assert J.raw_slices('{"id": "1", "p" : {"x": 1.50 } }') == {"id": '"1"', "p": '{"x": 1.50 }'}
+    for broken in ('{"a":1}trailing', '{"a":1 "b":2}', "[1]", "{"):
+        with pytest.raises(ValueError):
+            J.raw_slices(broken)
 
 
 def test_pages_to_graded_surface_and_back(spark, tmp_path):
