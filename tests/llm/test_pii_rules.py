@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -51,6 +52,27 @@ def test_the_method_adds_what_checksums_or_words_confirm(spark):
     assert clean[0] == "IBAN <iban>." and clean[3] == texts[3]
 
 
+def test_secrets_and_what_speaks_against_a_span(spark):
+    made = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [f'token = "{made}" then', "password: correcthorsebattery", f"api_key='{made}' # example", "AKIA" + "A1B2" * 4, "-----BEGIN RSA PRIVATE KEY-----", "our token = the thing", "serial 555-123-4567 phone", "version 1.2.3.4 of it"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, round(s.score, 2)) for s in r.spans] for r in pii.find(df).collect()}
+    assert got[0] == [("secret", 0.6)] and got[1] == [] and got[2] == [] and got[3] == [("known_key", 0.8)] and got[4][0][0] == "private_key" and got[5] == got[6] == []
+    assert got[7] == [("ip", 0.25)]  # base kinds stay whatever their score
+    assert {r.doc_id: r.n_spans for r in pii.digest(pii.find(df)).collect()} == {0: 1, 1: 0, 2: 0, 3: 1, 4: 1, 5: 0, 6: 0, 7: 1}
+
+
+def test_long_texts_full_of_spans_and_none(spark):
+    one = "10.0.0.1 a@b.cd "
+    df = spark.createDataFrame([(0, one * 20_000), (1, None), (2, "")], "doc_id long, text string")
+    began = time.time()
+    found = {r.doc_id: r for r in pii.digest(pii.find(df)).collect()}
+    assert found[0].n_spans == 40_000 and found[0].spans.endswith(f"email:{len(one) * 19_999 + 9}:{len(one) * 20_000 - 1}") and found[1].n_spans == found[2].n_spans == 0
+    assert time.time() - began < 60
+    short = spark.createDataFrame([(0, one * 300), (1, None), (2, ""), (3, None)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in pii.redact(short).collect()} == {0: "<ip> <email> " * 300, 1: "", 2: "", 3: ""}
+
+
 def stats(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     c = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
