@@ -13,52 +13,57 @@ from pyspark.sql import functions as F
 
 from .base import Stash
 
-RATIO, MIN_PAGES = 0.1, 5
+#: A line must be on two pages at least to be a repetition at all; the ratio decides otherwise.
+RATIO, REPETITION = 0.1, 2
 
 _SCRIPT = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 _BLOCK = r"(?i)</?(p|div|li|ul|ol|h[1-6]|nav|article|section|header|footer|aside|main|table|br|tr|td|th|title|body|html|head)\b[^>]*>"
 
 
 def html_lines(html: Column) -> Column:
-    """The text of a page: scripts, styles and comments go, block tags end a line, other tags vanish."""
+    """The text of a page: scripts, styles and comments go, block tags end a line, other tags vanish.
+
+    Null stays null and an empty page is empty. A script or comment without an end stays as text; each
+    pattern goes over a page once, whatever its length.
+    """
     bare = F.regexp_replace(html, _SCRIPT, "")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, _BLOCK, "\n"), "<[^>]*>", ""), "[ \t]+", " ")
 
 
 def host_of(url: Column) -> Column:
+    """The host of an address in lower case, without its port; empty for null and for what is no address."""
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
 
 
 def drop_boilerplate(
-    pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, most_removed: float = 1.0, copies_once: bool = False
+    pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, copies_once: bool = False, counts: tuple[str, str] | None = ("_n_lines", "_n_dropped")
 ) -> DataFrame:
-    """All rows and columns of pages, without boilerplate lines in the text; adds _n_lines and _n_dropped. Runs a job.
+    """All rows and columns of pages, without boilerplate lines in the text; adds the columns ``counts``. Runs a job.
 
     Lines are what newlines separate, compared without blanks around them; blank lines are neither
-    counted nor dropped. A line goes if more than ``ratio`` of its host's rows and at least
-    ``min_pages`` rows hold it. Rows that would lose more than ``most_removed`` of the
-    characters of their lines stay as they are: they are copies of each other and not pages with
-    boilerplate. With ``copies_once``, rows of a host that hold the same lines in the same order count
+    counted nor dropped. A line goes if more than ``ratio`` of its host's rows hold it, and two of
+    them. With ``copies_once``, rows of a host that hold the same lines in the same order count
     as one, so copies of a text don't make its lines boilerplate; else repeated rows count each. A null
     host is a host of its own, a null text stays null and has no lines, an empty table gives an empty one.
+    The columns of pages may have any names; those that ``counts`` names are replaced.
     """
-    rows = pages.withColumn("_host", host).withColumn("_lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
-    keys = F.filter(F.transform("_lines", F.trim), lambda x: x != "")
-    counted = rows.select("_host", F.transform(keys, lambda x: F.xxhash64(x)).alias("_hashes"))
+    # the pages' own columns travel as one, so no name of theirs can be mistaken for one used here
+    own = F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page")
+    rows = pages.select(own, host.alias("host"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("lines"))
+    keys = F.filter(F.transform("lines", F.trim), lambda x: x != "")
+    counted = rows.select("host", F.transform(keys, lambda x: F.xxhash64(x)).alias("hashes"))
     if copies_once:
-        sets = counted.groupBy("_host", F.xxhash64("_hashes").alias("_text")).agg(F.first("_hashes").alias("_hashes"))
-        counted = Stash(pages.sparkSession, "line-sets").put(sets.select("_host", "_hashes"))
-    seen = counted.select("_host", F.explode(F.array_distinct("_hashes")).alias("h"))
-    counts = seen.groupBy("_host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    totals = counted.groupBy("_host").agg(F.count("*").alias("total")).withColumnRenamed("_host", "_of")
-    common = counts.join(totals, F.col("_host").eqNullSafe(F.col("_of"))).where(F.col("n") > F.lit(ratio) * F.col("total"))
-    listed = Stash(pages.sparkSession, "lines").put(common.groupBy(F.col("_host").alias("_of")).agg(F.collect_list("h").alias("_common")))
-    rows = rows.join(listed, F.col("_host").eqNullSafe(F.col("_of")), "left").withColumn("_common", F.coalesce("_common", F.array().cast("array<bigint>")))
-    kept = F.filter("_lines", lambda x: (F.trim(x) == "") | ~F.array_contains("_common", F.xxhash64(F.trim(x))))
-    rows = rows.withColumn("_kept", F.when(F.size("_common") == 0, F.col("_lines")).otherwise(kept))
-    length = lambda lines: F.length(F.array_join(lines, "")).cast("double")
-    copy = (length("_lines") - length("_kept")) > F.lit(most_removed) * length("_lines")
-    rows = rows.withColumn("_kept", F.when(copy, F.col("_lines")).otherwise(F.col("_kept")))
-    text = F.when(F.col(text_col).isNotNull(), F.array_join("_kept", "\n"))
-    full = [text.alias(c) if c == text_col else F.col(c) for c in pages.columns]
-    return rows.select(*full, F.size(keys).cast("long").alias("_n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("_n_dropped"))
+        sets = counted.groupBy("host", F.xxhash64("hashes").alias("same")).agg(F.first("hashes").alias("hashes"))
+        counted = Stash(pages.sparkSession, "line-sets").put(sets.select("host", "hashes"))
+    seen = counted.select("host", F.explode(F.array_distinct("hashes")).alias("h"))
+    often = seen.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= REPETITION)
+    totals = counted.groupBy("host").agg(F.count("*").alias("total")).withColumnRenamed("host", "of")
+    common = often.join(totals, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > F.lit(ratio) * F.col("total"))
+    listed = Stash(pages.sparkSession, "lines").put(common.groupBy(F.col("host").alias("of")).agg(F.collect_list("h").alias("common")))
+    rows = rows.join(listed, F.col("host").eqNullSafe(F.col("of")), "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
+    kept = F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains("common", F.xxhash64(F.trim(x))))
+    rows = rows.withColumn("kept", F.when(F.size("common") == 0, F.col("lines")).otherwise(kept))
+    text = F.when(F.col(f"page.`{text_col}`").isNotNull(), F.array_join("kept", "\n"))
+    added = dict(zip(counts or (), (F.size(keys).cast("long"), (F.size("lines") - F.size("kept")).cast("long")), strict=False))
+    full = [text.alias(c) if c == text_col else F.col(f"page.`{c}`").alias(c) for c in pages.columns if c not in added]
+    return rows.select(*full, *[c.alias(n) for n, c in added.items()])

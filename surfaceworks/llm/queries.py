@@ -84,7 +84,7 @@ seen AS (SELECT DISTINCT page_id, host, trim(unnest(lines)) AS line FROM texts),
 totals AS (SELECT host, count(*) AS total FROM texts GROUP BY host),
 common AS (
   SELECT s.host, s.line FROM seen s JOIN totals t ON s.host = t.host WHERE s.line <> ''
-  GROUP BY s.host, s.line, t.total HAVING count(*) >= 5 AND count(*) > CAST(0.1 AS DOUBLE) * t.total),
+  GROUP BY s.host, s.line, t.total HAVING count(*) >= 2 AND count(*) > CAST(0.1 AS DOUBLE) * t.total),
 listed AS (SELECT host, list(line) AS common FROM common GROUP BY host),
 cut AS (
   SELECT page_id, lines, list_filter(lines, lambda x: trim(x) = '' OR NOT list_contains(coalesce(common, []), trim(x))) AS kept
