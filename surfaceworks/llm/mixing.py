@@ -19,6 +19,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST_EPOCHS = 1.5, 2.0
 #: About so many documents of a source are sorted in one task.
 BUCKET_ROWS = 2_000
+#: Qualities are told apart by so many steps for each doubling, and as many doublings at most in all, for cutting buckets.
+LEVELS, MOST_LEVEL = 8, 128
 SEED = "mix-1"
 
 
@@ -69,35 +71,48 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     )
 
 
-def plan(
+def bucketed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None,
-    weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, with_print: bool = False,
+    weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS,
 ) -> DataFrame:
-    """How many words of each document the mix takes. Runs a job.
-
-    One row per row of docs: doc_id, source, size, source_size, target, epochs (whole copies),
-    extra (words of one more, partial or whole copy), taken = epochs * size + extra. A source's taken
-    words are its target, rounded down. Sizes and keys are stashed, so texts are read once. A hot source
-    is sorted in buckets of its keys, whose sizes are summed first, and not in one task. A null
-    source is a source, a null or empty text has size 0 and takes nothing, rows that repeat an id
-    have different keys if their texts differ and are interchangeable otherwise.
-    """
+    """Documents with key, size, what their source is to give, and the bucket of their key among its source's. Runs jobs."""
     spark = docs.sparkSession
     text = F.col(text_col)
     weight = letter_share(text) if quality is None else quality
     slim = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(text).alias("size"),
-        fingerprint(text).alias("print"), (-F.log(uniform(F.col(id_col), fingerprint(text))) / weight).alias("key"),
+        fingerprint(text).alias("print"), weight.cast("double").alias("weight"), (-F.log(uniform(F.col(id_col), fingerprint(text))) / weight).alias("key"),
     )
     stash = Stash(spark, "mix")
     slim = stash.put(slim)
     per_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     goal = targets(per_source, weights, share, most).select(F.col("source").alias("s"), "source_size", "target", F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets"))
-    goal = stash.put(goal)
+    # how the keys of a source spread follows from its qualities: of quality q, 1 - exp(-q * key) are below a key
+    level = F.least(F.greatest(F.round(F.log2("weight") * LEVELS), F.lit(-MOST_LEVEL)), F.lit(MOST_LEVEL)).cast("int")
+    levels = slim.groupBy("source", level.alias("level")).agg(F.count("*").alias("k"))
+    spread = levels.groupBy(F.col("source").alias("o")).agg(F.collect_list(F.struct(F.pow(F.lit(2.0), F.col("level") / LEVELS).alias("q"), F.col("k"))).alias("levels"), F.sum("k").alias("all"))
+    goal = stash.put(goal.join(spread, F.col("s").eqNullSafe(F.col("o"))).drop("o"))
     rows = slim.join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    # ascending in the key; even for keys of equal quality
-    rows = rows.withColumn("bucket", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.col("buckets")))
-    rows = rows.withColumn("bucket", F.least("bucket", F.col("buckets") - 1))
+    # ascending in the key, and about as many rows in each
+    below = F.aggregate("levels", F.lit(0.0), lambda a, x: a + x["k"] * (F.lit(1.0) - F.exp(-x["q"] * F.col("key")))) / F.col("all")
+    rows = rows.withColumn("bucket", F.least(F.floor(below * F.col("buckets")), F.col("buckets") - 1)).drop("levels", "all", "weight")
+    return rows
+
+
+def plan(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None,
+    weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, with_print: bool = False,
+) -> DataFrame:
+    """How many words of each document the mix takes. Runs a job.
+
+    One row per row of docs: doc_id, source, size, source_size, target, epochs (whole copies),
+    extra (words of one more, partial or whole copy), taken = epochs * size + extra. A source's taken
+    words are its target, rounded down. Sizes and keys are stashed, so texts are read once. A hot source
+    is sorted in buckets of its keys, whose sizes are summed first, and not in one task. A null
+    source is a source, a null or empty text has size 0 and takes nothing, rows that repeat an id
+    have different keys if their texts differ and are interchangeable otherwise.
+    """
+    rows = bucketed(docs, id_col, text_col, source_col, quality, weights, share, most)
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("base"))
@@ -124,15 +139,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The mixed corpus: docs' rows as often as ``plan`` takes them, with docs' columns. Runs jobs.
 
     A document of which the mix takes part of a copy gives its first words. A text without words is
-    not taken. The plan finds its rows by id and text; rows that repeat both are taken alike.
+    not taken. The plan finds its rows by id and text; rows that repeat both are taken alike. An empty
+    table gives an empty one; the columns may have any names.
     """
-    text = F.col(text_col)
     taken = plan(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")), **how, with_print=True)
-    taken = taken.groupBy("doc_id", "print").agg(F.max("size").alias("_size"), F.max("epochs").alias("_epochs"), F.max("extra").alias("_extra"))
-    taken = taken.withColumnRenamed("doc_id", "_id").withColumnRenamed("print", "_print").where("_size > 0 and _epochs + _extra > 0")
-    rows = docs.withColumn("_own", fingerprint(text))
-    rows = rows.join(taken, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_print")))
-    parts = F.concat(F.array_repeat(F.lit(False), F.col("_epochs").cast("int")), F.when(F.col("_extra") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
-    rows = rows.withColumn("_last", F.explode(parts))
-    cut = F.when(F.col("_last") & (F.col("_extra") < F.col("_size")), _first_words(text, F.col("_extra"))).otherwise(text)
-    return rows.select(*[cut.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    taken = taken.groupBy("doc_id", "print").agg(*[F.max(c).alias(c) for c in ("size", "epochs", "extra")]).where("size > 0 and epochs + extra > 0")
+    taken = taken.withColumnRenamed("doc_id", "of").withColumnRenamed("print", "of_print")
+    # the documents' own columns travel as one, so no name of theirs can be mistaken for one used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("print"))
+    rows = rows.join(taken, F.col("id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("of_print")))
+    parts = F.concat(F.array_repeat(F.lit(False), F.col("epochs").cast("int")), F.when(F.col("extra") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+    rows = rows.withColumn("last", F.explode(parts))
+    text = F.col(f"doc.`{text_col}`")
+    cut = F.when(F.col("last") & (F.col("extra") < F.col("size")), _first_words(text, F.col("extra"))).otherwise(text)
+    return rows.select(*[cut.alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
