@@ -1,15 +1,12 @@
-"""What several training-data operators share: stashing, components, word arrays, the chunk encoder.
+"""What several training-data operators share: components, word arrays, the chunk encoder; stashing is the library's.
 
 Every function here is lazy unless its docstring says that it runs a job.
 """
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import os
 import struct
-import uuid
 import zlib
 
 import numpy as np
@@ -18,63 +15,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
-FALLBACK_DIR = "file:///tmp/checkpoints"
+from ..stash import Stash  # noqa: F401
 
 #: One word: what ASCII white space separates. Java and Python read it alike.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch on its way to a Python worker, at most: long texts would fill one of any size.
+BATCH_BYTES = 4 << 20
+
 #: Rows in a slice of Arrow text that is worked on at once are bounded by this many bytes.
 SLICE_BYTES = 3 << 20
 
 
-# --------------------------------------------------------------------------- stashes
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as a full URI."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-
-
-def new_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/surfaceworks-{label}-{uuid.uuid4().hex}"
-
-
-class Stash:
-    """Tables cut out of the lineage: written once to the shared folder, read back from there.
-
-    A lost executor costs a re-read, never a recomputation of what came before. ``drop`` removes a
-    table that nothing reads any more; the rest goes when the driver ends.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root, self.n = spark, new_dir(spark, label), 0
-        atexit.register(self._remove_all)
-
-    def _remove_all(self) -> None:
-        with contextlib.suppress(Exception):  # the JVM may have gone before
-            self._delete(self.root)
-
-    def _delete(self, where: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def put(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
-        """Run df and give it back as a table; its path is in the attribute ``stash_path``."""
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.option("compression", codec).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.stash_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        self._delete(df.stash_path)
-
-
 # --------------------------------------------------------------------------- connected components
 
 
@@ -125,6 +78,13 @@ def components(spark: SparkSession, links: DataFrame, stash: Stash, max_rounds:
 # --------------------------------------------------------------------------- Arrow text
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches hold ``BATCH_BYTES`` at most, or less if it says so itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def slices(texts: pa.Array, bound: int = SLICE_BYTES):
     """(first row, rows) of consecutive slices of about ``bound`` bytes; a longer text is alone."""
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)

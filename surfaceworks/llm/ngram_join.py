@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Stash, chunked_words, components, slices
+from .base import Stash, bound_batches, chunked_words, components, slices
 
 BITS = 1024
 SEEDS = 4
@@ -356,6 +356,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     columns are not read. Sets count as equal if 128 bits of their hash and their sizes are.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     stash = Stash(spark, "ngram-join")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Stash, encoder, slices
+from .base import Stash, bound_batches, encoder, slices
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE = 2048
@@ -45,6 +45,7 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
                 )
                 at += int(ends[-1])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
         run, "doc_id long, part long, part_start long, n_tokens long, ids binary"
     )

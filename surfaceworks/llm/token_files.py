@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import Stash, crc, encoder, new_dir, slices
+from .base import Stash, bound_batches, crc, encoder, slices
 from .packing import END_ID, SEQUENCE, TOKENIZER
 
 #: Sequences in a record batch.
@@ -80,7 +80,8 @@ def write(
     first, an empty table gives no files. Other columns are not read.
     """
     spark = docs.sparkSession
-    folder = folder or new_dir(spark, "token-files")
+    bound_batches(spark)
+    folder = folder or f"{Stash(spark, 'token-files').root}/files"
 
     def run(batches):
         batches = (b for b in batches if b.num_rows)
