@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import chunked_words, segment_sums, slices
+from .base import bound_batches, chunked_words, segment_sums, slices
 
 SIZE = 1 << 18
 #: Labelled rows that the weights are learned from, at most: those with the smallest hash of the id.
@@ -37,7 +37,7 @@ def shape(word: str) -> str:
         return "a" if w.islower() else "A" if w.isupper() and len(w) > 1 else "Aa"
 
     out = _RUNS[1].sub("0", _RUNS[0].sub(letters, word))
-    return re.sub(r"([^\w])\1+", r"\1\1", out)[:12]
+    return re.sub(r"([^\w])\1+", r"\1\1", out)
 
 
 _known: dict[str, tuple[int, int]] = {"": (0, 0)}
@@ -108,10 +108,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, most_rows: int = MOST_R
     """Learn from at most ``most_rows`` labelled documents that ``usable`` (a condition on doc_id) admits. Runs a job.
 
     The chosen ids have a proven bound and are broadcast; texts become features where they are read,
-    and only features reach the driver. Labels without an id or a quality are left out.
+    and only features reach the driver. Labels without an id or a quality are left out; of labels that
+    repeat an id the smallest quality counts, once. A document that repeats a labelled id counts as
+    often as it is there. No labels give the weights 0.
     """
     ok = F.col("doc_id").isNotNull() & F.col("quality").isNotNull()
-    chosen = labels.where(ok if usable is None else ok & usable).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y"))
+    chosen = labels.where(ok if usable is None else ok & usable).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").cast("int").alias("_y"))
     chosen = chosen.orderBy(F.crc32(F.reverse(F.col("_id").cast("string"))), "_id").limit(most_rows)
 
     def run(batches):
@@ -124,6 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, most_rows: int = MOST_R
                     ["y", "at", "x"],
                 )
 
+    bound_batches(docs.sparkSession)
     picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     table = picked.select("text", "_y").mapInArrow(run, "y int, at binary, x binary").toArrow()
     rows = [(np.frombuffer(a.as_buffer(), "<u4").astype(np.int64), np.frombuffer(x.as_buffer(), "<f4").astype(float), y) for y, a, x in zip(table["y"].to_pylist(), table["at"], table["x"], strict=True)]
@@ -150,6 +153,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
             for first, n in slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(scores(batch.column(1).slice(first, n), weights, bias))], ["doc_id", "score"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, score double")
 
 
@@ -164,4 +168,5 @@ def keep_good(docs: DataFrame, model, text_col: str = "text", threshold: float =
                 part = batch.slice(first, n)
                 yield part.filter(pa.array(scores(part.column(at), weights, bias) >= threshold))
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

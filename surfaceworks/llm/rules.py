@@ -159,14 +159,18 @@ def learn(x: np.ndarray, bad: np.ndarray, seed: int = 7, most_rules: int = 16, p
     return rules
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> list[Rule]:
-    """Rules learned from at most ``most_rows`` labelled documents (quality 0 is bad). Runs a job.
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, usable=None) -> list[Rule]:
+    """Rules learned from at most ``most_rows`` labelled documents (quality 0 is bad) that ``usable`` (a condition on doc_id) admits. Runs a job.
 
-    Labels without an id or a quality are left out. The sample has a proven bound and is broadcast.
+    Labels without an id or a quality are left out; of labels that repeat an id the smallest quality
+    counts, once. Null, empty and repeated texts are rows like others. No labels give no rules. The
+    sample has a proven bound and is broadcast.
     """
-    chosen = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality"))
-    chosen = chosen.orderBy(F.crc32(F.col("_id").cast("string")), "_id").limit(most_rows)
-    rows = statistics(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")), "doc_id", "text", F.col("_quality")).select(*FEATURES, "_quality").collect()
+    ok = F.col("doc_id").isNotNull() & F.col("quality").isNotNull()
+    chosen = labels.where(ok if usable is None else ok & usable).groupBy(F.col("doc_id").alias("of")).agg(F.min("quality").alias("quality"))
+    chosen = chosen.orderBy(F.crc32(F.col("of").cast("string").cast("binary")), "of").limit(most_rows)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of"))
+    rows = statistics(texts, "doc_id", "text", F.col("quality")).select(*FEATURES, "quality").collect()
     table = np.array(rows, float).reshape(-1, len(FEATURES) + 1)
     return learn(table[:, :-1], table[:, -1] == 0)
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import chunked_words, segment_sums, slices
+from .base import bound_batches, chunked_words, segment_sums, slices
 
 BUCKETS = 1 << 16
 DIM = 4
@@ -124,10 +124,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, most_rows: int = MOST_R
     """Learn from at most ``most_rows`` labelled documents that ``usable`` (a condition on doc_id) admits. Runs a job.
 
     The chosen ids have a proven bound and are broadcast; texts become bags where they are read, and
-    only bags reach the driver. Labels without an id or a value are left out.
+    only bags reach the driver. Labels without an id or a value are left out; of labels that repeat an
+    id the largest counts, once. A document that repeats a labelled id counts as often as it is there.
     """
     ok = F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()
-    chosen = labels.where(ok if usable is None else ok & usable).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y"))
+    chosen = labels.where(ok if usable is None else ok & usable).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_y"))
     chosen = chosen.orderBy(F.crc32(F.reverse(F.col("_id").cast("string"))), "_id").limit(most_rows)
 
     def run(batches):
@@ -139,6 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, most_rows: int = MOST_R
                     ["y", "at", "x"],
                 )
 
+    bound_batches(docs.sparkSession)
     picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     table = picked.select("text", "_y").mapInArrow(run, "y int, at binary, x binary").toArrow()
     raw = sorted(zip(table["y"].to_pylist(), table["at"].to_pylist(), table["x"].to_pylist(), strict=True))
@@ -174,4 +176,5 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
             for first, n in slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(scores(batch.column(1).slice(first, n), model))], ["doc_id", "score"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, score double")

@@ -1,10 +1,15 @@
+import math
 import os
+import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
-from surfaceworks.llm import quality, toxicity
+from surfaceworks.llm import quality, rules, toxicity
 from surfaceworks.llm.queries import QUERIES
 
 DATA = "/root/testdata/sf0.1"
@@ -44,3 +49,76 @@ def test_a_text_scores_alike_in_any_company():
 
 def test_shapes():
     assert [quality.shape(w) for w in ("WAS.!!", "That***", "héé", "42", "a1b", "----", "|")] == ["A.!!", "Aa**", "a", "0", "a0a", "--", "|"]
+
+
+TEXTS = ["A first Text, with 12 words words and signs!! ++ ----", "", None, " one ", "ñandú 日本 x-y_z https://a.b/c?d=" + "0aB-" * 40, "word " * 500]
+M = 2**64
+
+
+def test_quality_scores_by_brute_force():
+    """Every n-gram hashed and summed on its own."""
+    rng = np.random.default_rng(0)
+    weights, bias = rng.normal(size=quality.SIZE).astype(np.float32), 0.25
+
+    def mixed(x):
+        x = (x ^ (x >> 29)) * 0x9E3779B97F4A7C15 % M
+        return x >> 46
+
+    def brute(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        both = [(xxhash.xxh3_64_intdigest("w" + re.sub(r"^[\W_]+|[\W_]+$", "", w.lower())), xxhash.xxh3_64_intdigest("s" + quality.shape(w))) for w in words]
+        total = 0.0
+        for i, (w, f) in enumerate(both):
+            bw, bf = both[i - 1] if i else (1, 1)
+            grams = [mixed(w), mixed((f + 3) % M), mixed((bw * 31 + w) % M), mixed((bf * 37 + f) % M), mixed(7 if i and bw == w else 11)]
+            total += sum(float(weights[g]) for g in grams)
+        return 1 / (1 + math.exp(-(bias + quality.SCALE * total / max(1, len(words)))))
+
+    assert quality.scores(pa.array(TEXTS), weights, bias).tolist() == pytest.approx([brute(t) for t in TEXTS], rel=1e-6)
+
+
+def test_toxicity_scores_by_brute_force():
+    """Every word's n-grams hashed and averaged on their own, then the words and the neutral ones."""
+    rng = np.random.default_rng(1)
+    numbers, bias = rng.normal(size=toxicity.BUCKETS).astype(np.float32), -0.5
+
+    def buckets(word):
+        codes, out = [ord(c) for c in f"<{word}>"], []
+        out.append(sum(c * (i * 0x2545F4914F6CDD1D + 0x9E3779B97F4A7C15) for i, c in enumerate(codes)) % M)
+        for n in toxicity.GRAMS:
+            for i in range(len(codes) - n + 1):
+                h = 0
+                for c in codes[i : i + n]:
+                    h = (h + c) * 0x100000001B3 % M
+                    h ^= h >> 31
+                out.append((h + n) % M)
+        return [(h * 0x9E3779B97F4A7C15 % M) >> 48 for h in out]
+
+    def brute(text):
+        words = re.findall(r"[^\W_]+", (text or "").lower())
+        means = [sum(float(numbers[b]) for b in buckets(w)) / len(buckets(w)) for w in words]
+        return 1 / (1 + math.exp(-(bias + sum(means) / (len(words) + toxicity.NEUTRAL))))
+
+    assert toxicity.scores(pa.array(TEXTS), (numbers, bias)).tolist() == pytest.approx([brute(t) for t in TEXTS], rel=1e-6)
+
+
+def test_labels_that_repeat_an_id_count_once_and_any_column_names_do(spark):
+    docs = spark.createDataFrame([(i, f"text number {i} " + "BAD!! " * (i % 2) * 5, 1, 2, 3) for i in range(40)], "doc_id long, text string, _id int, _y int, quality int")
+    once = [(i, 1 - i % 2, i % 2) for i in range(40)]
+    schema = "doc_id long, quality int, toxic int"
+    twice = spark.createDataFrame(once + once + [(3, 1, 0)], schema)
+    for module in (quality, toxicity):
+        a, b = (module.score(docs, module.fit(docs, t)).collect() for t in (spark.createDataFrame(once, schema), twice))
+        assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    assert rules.fit(docs, spark.createDataFrame(once, schema)) == rules.fit(docs, twice) and rules.fit(docs, twice.limit(0)) == []
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_held_out_verdicts_of_the_rules(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    learned = rules.fit(docs, labels, usable=~held)
+    rows = rules.apply(docs, learned).join(labels.where(held), "doc_id").select("quality", "base_failed", "kept").collect()
+    good, bad = [r for r in rows if r.quality == 1 and not r.base_failed], [r for r in rows if r.quality == 0]
+    assert learned and len(good) > 50 and len(bad) > 50
+    assert sum(r.kept for r in good) >= 0.95 * len(good) and sum(not r.kept for r in bad) >= 0.8 * len(bad)
