@@ -26,7 +26,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that more than a tenth of a source's documents hold go from every document; exact copies count as one document."""
-    kept = lines.drop_boilerplate(docs, F.col("source"), copies_once=True)
+    kept = lines.drop_boilerplate(docs, F.col("source"), copies_once=True, counts=None)
     return kept.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
