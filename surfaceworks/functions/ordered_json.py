@@ -389,3 +389,37 @@ def token_count(c: Column, encoder_factory) -> Column:
         return pd.Series([None if not isinstance(x, str) else n for x, n in zip(column, counts, strict=True)], dtype="Int64")
 
     return run(c)
+
+
+def hosted_count(c: Column, client_factory, tries: int = 3, wait: float = 0.5) -> Column:
+    """struct<tokens, available, error> of a text by a hosted counter, whose client ``client_factory()`` makes once in each worker.
+
+    The client has ``count(text) -> int``. What fails is tried again, after twice the wait each time;
+    then tokens are null and the error says why, and never is anything estimated. A factory that
+    gives None, as where no key is set, leaves every count unavailable.
+    """
+    cache: list = []
+
+    def one(x):
+        if x is None:
+            return None, False, "no text"
+        if cache[0] is None:
+            return None, False, "no client"
+        error = ""
+        for k in range(tries):
+            try:
+                return int(cache[0].count(x)), True, None
+            except Exception as e:  # a failure is a value here, never a stop
+                error = f"{type(e).__name__}: {e}"[:200]
+                if k + 1 < tries:
+                    time.sleep(wait * 2**k)
+        return None, False, error
+
+    @F.pandas_udf("tokens long, available boolean, error string")
+    def run(column: pd.Series) -> pd.DataFrame:
+        if not cache:
+            cache.append(client_factory())
+        rows = pd.DataFrame([one(x) for x in column], columns=["tokens", "available", "error"])
+        return rows.astype({"tokens": "Int64"})
+
+    return run(c)

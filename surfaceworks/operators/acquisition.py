@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,6 +141,30 @@ def extra_paths(found: DataFrame, known: DataFrame, key: tuple[str, ...] = ("pat
     return over.select(*key, F.explode(F.array_repeat(F.lit(0), F.col("over").cast("int"))).alias("_i")).select(*key)
 
 
+def swept(entries: DataFrame, measure) -> DataFrame:
+    """(id, status, error, payload) of entries (id, ...): what ``measure(row) -> text`` gives for each, or how it failed.
+
+    A failure is a row, never a stop: an exception is the status of its entry, by ``failure_class``
+    of its text, and the others go on. ``measure`` runs where the rows are, one row at a time, as it
+    waits for a server; entries are few and dealt one to a task.
+    """
+    names = entries.columns
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for values in zip(*[batch[c] for c in names], strict=True):
+                row = dict(zip(names, values, strict=True))
+                try:
+                    out.append((row["id"], None, measure(row)))
+                except Exception as e:
+                    out.append((row["id"], f"{type(e).__name__}: {e}", None))
+            yield pd.DataFrame(out, columns=["id", "error", "payload"])
+
+    rows = entries.repartition(F.col("id")).mapInPandas(run, f"id {entries.schema['id'].dataType.simpleString()}, error string, payload string")
+    return rows.select("id", figures.failure_class(F.col("error")).alias("status"), "error", "payload")
+
+
 def row_status(error_class: Column, tools: Column, excluded: Column, partial: Column) -> Column:
     """Status of a server's row: its failure, a surface without usable tools, an enumeration that broke off, or ok."""
     return F.when(error_class != "ok", error_class).when((tools > 0) & (tools == excluded), "schema_invalid").when(partial, "partial_surface").otherwise("ok")

@@ -54,3 +54,63 @@ def test_models_checks_and_prompts(spark):
         A.normal_path(F.lit(" '/abs/logs/access.log'. "), "logs/access.log").alias("p"),
     ).first()
     assert (r.m, r.none, r.yes, r.no, r.r, r.n) == ("y", "pin", True, False, "t 8 /o", "1370")
+
+
+class Flaky:
+    """Fails on every first try, and always on one text."""
+
+    def __init__(self):
+        self.seen = set()
+
+    def count(self, text):
+        if text == "never" or text not in self.seen:
+            self.seen.add(text)
+            raise OSError("busy")
+        return len(text)
+
+
+def test_hosted_counts_are_tried_again_and_never_estimated(spark):
+    from surfaceworks.functions import ordered_json as J
+
+    df = spark.createDataFrame([("four",), ("never",), (None,)], "t string").coalesce(1)
+    got = [tuple(r.c) for r in df.select(J.hosted_count(F.col("t"), Flaky, wait=0.0).alias("c")).collect()]
+    assert got == [(4, True, None), (None, False, "OSError: busy"), (None, False, "no text")]
+    assert [r.c.error for r in df.select(J.hosted_count(F.col("t"), lambda: None).alias("c")).collect()] == ["no client", "no client", "no text"]
+
+
+def test_a_failure_is_a_row(spark):
+    def measure(row):
+        if row["id"] == 1:
+            raise ConnectionError("connection refused")
+        if row["id"] == 2:
+            raise ValueError("odd")
+        return row["name"].upper()
+
+    got = {r.id: (r.status, r.payload) for r in A.swept(spark.createDataFrame([(0, "a"), (1, "b"), (2, "c"), (3, "d")], "id long, name string"), measure).collect()}
+    assert got == {0: ("ok", "A"), 1: ("unreachable", None), 2: ("protocol_error", None), 3: ("ok", "D")}
+
+
+def test_slots_and_stamps(spark):
+    rows = [(f"{c}{i}", c, i == 0, 10 - i, 0, 0) for c in "abcd" for i in range(7)]
+    got = [r.id for r in A.slots(spark.createDataFrame(rows, "id string, category string, official boolean, installs int, overlap int, stars int")).collect()]
+    assert got[:4] == ["a0", "b0", "c0", "d0"] and len(got) == 15 and not any(x.endswith(("5", "6")) for x in got)
+    cells = spark.createDataFrame([tuple(A.STAMPS), (*A.STAMPS[:-1], None), (*A.STAMPS[:-1], "")], ", ".join(f"{s} string" for s in A.STAMPS))
+    assert A.releasable(cells).count() == 1
+    kept, aborted = A.published(spark.createDataFrame([("a", "ok"), ("b", "aborted")], "id string, status string"), True)
+    assert [r.id for r in kept.collect()] == ["a"] and aborted
+
+
+def test_retrieval_cost(spark):
+    from surfaceworks.operators import retrieval
+
+    docs = spark.createDataFrame([("s", 0, "alpha", "read file"), ("s", 1, "beta", "write file"), ("s", 2, "gamma", "other")], "server string, tool long, name string, descriptor string")
+    asked = spark.createDataFrame([("s", "q", ["file", "read"]), ("s", "none", ["zzz"]), ("s", "u", ["other"])], "server string, query string, terms array<string>")
+    costs = spark.createDataFrame([("s", 0, 10), ("s", 1, 20), ("s", 2, None)], "server string, tool long, tokens long")
+    assert {r.query: r.tokens for r in retrieval.search_cost(asked, retrieval.index(docs), costs, 2).collect()} == {"q": 530, "none": 500, "u": None}
+
+
+def test_optional_documents(spark, tmp_path):
+    assert readers.published_traffic(spark, f"file://{tmp_path}/none.json").count() == 0
+    (tmp_path / "t.json").write_text('{"servers":{"a":{"clients":[{"client":"c","call_tokens":{"median":1.5,"min":1,"max":2},"tool_calls":{"median":3,"min":3,"max":3}}]}}}')
+    r = readers.published_traffic(spark, f"file://{tmp_path}/t.json").first()
+    assert (r.server, r.client, r.tokens_median, r.calls_max) == ("a", "c", 1.5, 3)
