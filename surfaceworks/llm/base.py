@@ -5,6 +5,8 @@ Every function here is lazy unless its docstring says that it runs a job.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import struct
 import zlib
@@ -25,7 +27,7 @@ GAP = r"[\x20\x09-\x0D]+"
 BATCH_BYTES = 4 << 20
 
 #: Rows in a slice of Arrow text that is worked on at once are bounded by this many bytes.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 
 
 # --------------------------------------------------------------------------- connected components
@@ -85,6 +87,30 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+_remembered: dict[str, object] = {}
+
+
+def remembers(operator: str, forget) -> None:
+    """``forget()`` empties what an operator remembers in this worker."""
+    _remembered[operator] = forget
+
+
+def only(operator: str) -> None:
+    """Called where an operator begins in a worker: what others remember there goes, as workers outlive their stages."""
+    others = [forget for name, forget in _remembered.items() if name != operator]
+    for forget in others:
+        forget()
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(texts: pa.Array, bound: int = SLICE_BYTES):
     """(first row, rows) of consecutive slices of about ``bound`` bytes; a longer text is alone."""
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -95,7 +121,7 @@ def slices(texts: pa.Array, bound: int = SLICE_BYTES):
         to = max(at + 1, int(np.searchsorted(ends, before + bound, "right")))
         yield at, to - at
         at = to
-    pa.default_memory_pool().release_unused()  # workers live on, and share their executor's memory
+    give_back()  # workers live on, and share their executor's memory
 
 
 def chunked_words(texts: pa.Array):
@@ -136,7 +162,7 @@ class ChunkEncoder:
     piece or chunk. A text that could hold an added token, or any other character, isn't cut.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -193,6 +219,9 @@ class ChunkEncoder:
 _encoders: dict[str, ChunkEncoder] = {}
 
 
+remembers("encoder", _encoders.clear)
+
+
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder for a file; ``path`` without a slash names a file of public_tokenizers."""
     if path not in _encoders:

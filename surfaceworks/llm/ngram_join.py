@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Stash, bound_batches, chunked_words, components, slices
+from .base import Stash, bound_batches, chunked_words, components, only, slices
 
 BITS = 1024
 SEEDS = 4
@@ -175,6 +175,7 @@ def _prints(docs: DataFrame, words: int, lower: bool, buckets: int, of: int) ->
     """
 
     def run(batches):
+        only("ngram join")
         for batch in batches:
             for first, rows in slices(batch.column(1)):
                 sets = shingle_sets(batch.column(1).slice(first, rows), words, lower)
@@ -232,6 +233,7 @@ def _signatures(docs: DataFrame, words: int, num: int, den: int, lower: bool) ->
     maps = ", ".join(f"b{i} long" for i in range(BITS // 64))
 
     def run(batches):
+        only("ngram join")
         for batch in batches:
             for first, n in slices(batch.column(1)):
                 sets = shingle_sets(batch.column(1).slice(first, n), words, lower)
@@ -252,6 +254,7 @@ def _exact(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b, sa, sb) that link."""
 
     def run(batches):
+        only("ngram join")
         for batch in batches:
             keep = []
             for sa, sb in zip(batch.column(2), batch.column(3), strict=True):
@@ -275,6 +278,7 @@ def _redealt(sets: DataFrame, num: int, den: int, seed: int) -> DataFrame:
     """(id, keys) of sets (id, shingles) under another seed."""
 
     def run(batches):
+        only("ngram join")
         for batch in batches:
             keys = [tile_keys(np.frombuffer(s.as_buffer(), np.uint64), num, den, (seed,)).view(np.int64) for s in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["id", "keys"])

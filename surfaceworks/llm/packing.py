@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Stash, bound_batches, encoder, slices
+from .base import Stash, bound_batches, encoder, only, slices
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE = 2048
@@ -31,6 +31,7 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
     """
 
     def run(batches):
+        only("encoder")
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column(1)

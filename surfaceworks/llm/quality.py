@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bound_batches, chunked_words, segment_sums, slices
+from .base import bound_batches, chunked_words, only, remembers, segment_sums, slices
 
 SIZE = 1 << 18
 #: Labelled rows that the weights are learned from, at most: those with the smallest hash of the id.
@@ -44,6 +44,14 @@ _known: dict[str, tuple[int, int]] = {"": (0, 0)}
 MOST_KNOWN = 60_000
 
 
+def _forget() -> None:
+    _known.clear()
+    _known[""] = (0, 0)
+
+
+remembers("quality", _forget)
+
+
 def _hash(word: str) -> tuple[int, int]:
     got = _known.get(word)
     if got is None:
@@ -117,6 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, most_rows: int = MOST_R
     chosen = chosen.orderBy(F.crc32(F.reverse(F.col("_id").cast("string"))), "_id").limit(most_rows)
 
     def run(batches):
+        only("quality")
         for batch in batches:
             for first, n in slices(batch.column(0)):
                 grams, bounds, words = features(batch.column(0).slice(first, n))
@@ -149,6 +158,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
     weights, bias = model
 
     def run(batches):
+        only("quality")
         for batch in batches:
             for first, n in slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(scores(batch.column(1).slice(first, n), weights, bias))], ["doc_id", "score"])
@@ -163,6 +173,7 @@ def keep_good(docs: DataFrame, model, text_col: str = "text", threshold: float =
     at = docs.columns.index(text_col)
 
     def run(batches):
+        only("quality")
         for batch in batches:
             for first, n in slices(batch.column(at)):
                 part = batch.slice(first, n)

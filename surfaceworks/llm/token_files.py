@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import Stash, bound_batches, crc, encoder, slices
+from .base import Stash, bound_batches, crc, encoder, only, slices
 from .packing import END_ID, SEQUENCE, TOKENIZER
 
 #: Sequences in a record batch.
@@ -84,6 +84,7 @@ def write(
     folder = folder or f"{Stash(spark, 'token-files').root}/files"
 
     def run(batches):
+        only("encoder")
         batches = (b for b in batches if b.num_rows)
         first_batch = next(batches, None)
         if first_batch is None:
@@ -154,6 +155,7 @@ def read_documents(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """
 
     def run(batches):
+        only("encoder")
         for batch in batches:
             for row in batch.to_pylist():
                 stream = pa.ipc.open_stream(_source(row["path"]))

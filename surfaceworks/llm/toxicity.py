@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bound_batches, chunked_words, segment_sums, slices
+from .base import bound_batches, chunked_words, only, segment_sums, slices
 
 BUCKETS = 1 << 16
 DIM = 4
@@ -132,6 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, most_rows: int = MOST_R
     chosen = chosen.orderBy(F.crc32(F.reverse(F.col("_id").cast("string"))), "_id").limit(most_rows)
 
     def run(batches):
+        only("toxicity")
         for batch in batches:
             for first, n in slices(batch.column(0)):
                 rows = text_bags(batch.column(0).slice(first, n))
@@ -172,6 +173,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def run(batches):
+        only("toxicity")
         for batch in batches:
             for first, n in slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(scores(batch.column(1).slice(first, n), model))], ["doc_id", "score"])
