@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, embed_dedup, html_text, lines, mixing, ngram_join, packing, pii, quality, rules, token_files, toxicity
+from . import conversations, embed_dedup, html_text, lines, mixing, ngram_join, packing, pii, quality, rules, token_files, toxicity, whitening
 from .base import Stash
 
 
@@ -106,6 +106,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -120,6 +124,6 @@ QUERIES = {
     "op6_toxicity": op6_toxicity, "op8_line_dedup": op8_line_dedup, "op10_quality": op10_quality,
     "op9_ngram_join": op9_ngram_join,
     "op1_personal_data": op1_personal_data, "op2_embedding_dedup": op2_embedding_dedup, "op7_quality_rules": op7_quality_rules, "op3_mixing": op3_mixing, "op4_packing": op4_packing, "op5_token_files": op5_token_files,
-    "op12_html_text": op12_html_text, "op13_conversations": op13_conversations,
+    "op11_whitening": op11_whitening, "op12_html_text": op12_html_text, "op13_conversations": op13_conversations,
 }
 ORACLES: dict[str, str] = {"op2_embedding_dedup": OP2_SQL, "op8_line_dedup": OP8_SQL}
