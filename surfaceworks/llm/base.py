@@ -149,7 +149,7 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 #: Texts of these characters alone are lower-cased and cut into pieces here; other texts go to the
 #: library chunk by chunk. Both as RE2 reads them.
 PLAIN = r"\A[\x09-\x0d\x20-~À-ÖØ-öø-ÿ]*\z"
-NOT_LETTERS = r"('s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-z0-9ß-öø-ÿ]+)"
+NOT_LETTERS = r"('s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\x09-\x0d\x20a-z0-9ß-öø-ÿ]+)"
 
 
 class ChunkEncoder:

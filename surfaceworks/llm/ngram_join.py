@@ -41,10 +41,14 @@ BITS = 1024
 SEEDS = 4
 #: A tile with more rows than this outside its largest component is dealt again, if that leaves fewer pairs.
 CROWDED = 512
+#: It is dealt again so often at most, and no more once that leaves more than this part of the pairs.
+REDEALS, WORTH = 4, 0.7
 #: The largest size in a band, in times the smallest.
 BAND = 1.5
 #: Bytes of text whose prints a bucket holds, about.
 BUCKET_BYTES = 32 << 20
+#: Documents that pass through a bucket, about.
+BUCKET_ROWS = 1 << 19
 LEAST_BUCKETS = 12
 #: The share of the space of hashes that is looked at, in times the part of its shingles that a set may hold alone.
 SHARE = 2.5
@@ -165,13 +169,26 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def _homes(f1: np.ndarray, ids: pa.Array, buckets: int) -> np.ndarray:
+    """A bucket for each document: by fingerprint and id, and by place among the rows equal in both."""
+    mixed = mix(f1 ^ mix(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+    order = np.argsort(mixed, kind="stable")
+    ordered = mixed[order]
+    first = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, bool)
+    starts = np.flatnonzero(first)
+    place = np.empty(len(mixed), np.uint64)
+    place[order] = np.arange(len(mixed), dtype=np.uint64) - np.repeat(starts, np.diff(np.append(starts, len(mixed)))).astype(np.uint64)
+    return ((mixed + place) % np.uint64(buckets)).astype(np.int64)
+
+
 def _prints(docs: DataFrame, words: int, lower: bool, buckets: int, of: int) -> DataFrame:
     """For each slice of docs (id, text) and each of ``buckets`` a row of prints and of documents.
 
     Of the space of hashes, cut into ``of`` parts, the first ``buckets`` are kept. prints holds the
     distinct prints of the bucket, those of one set together: of the set f[i] come count[i]; those of
-    several sets of the slice have f = 0. Documents (ids, n, f1, f2) are dealt by f1, the lower half of
-    their set's fingerprint. What a row's bucket is depends on its content alone.
+    several sets of the slice have f = 0. Documents (ids, n, f1, f2), where f1 is the lower half of their
+    set's fingerprint, only pass through a bucket: equal ones of a slice go to one after the other. What a
+    row's bucket is depends on the content of its slice alone.
     """
 
     def run(batches):
@@ -196,7 +213,7 @@ def _prints(docs: DataFrame, words: int, lower: bool, buckets: int, of: int) ->
                 part, prints = (key >> np.uint64(32)).astype(np.int64), key.astype(np.uint32)
                 runs = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (f[1:] != f[:-1])))) if len(key) else starts
                 counts, of_run, run_part = np.diff(np.append(runs, len(key))).astype(np.uint32), f[runs], part[runs]
-                home = (f1 % np.uint64(buckets)).astype(np.int64)
+                home = _homes(f1, ids, buckets)
                 by_home = np.argsort(home, kind="stable")
                 out = {k: [] for k in ("bucket", "f", "count", "prints", "ids", "n", "f1", "f2")}
                 for b in np.union1d(run_part, home).tolist():
@@ -363,8 +380,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     bound_batches(spark)
     stash = Stash(spark, "ngram-join")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
+    size, n = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES), -(-n // BUCKET_ROWS))
     of = max(buckets, int(buckets * den / (den - num) / SHARE)) if num < den else buckets
     seen = stash.put(_prints(texts, words, lower, buckets, of).groupBy("bucket").applyInArrow(_alone, "id long, n long, f1 long, f2 long, alone long"))
     rows = seen.where("n is not null").select("id", "n", "f1", "f2")
@@ -377,7 +394,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     alone = seen.where("n is null").groupBy("f1").agg(F.sum("alone").alias("alone"))
     open_sets = same.join(alone, "f1", "left").where((F.col("n") - F.coalesce("alone", F.lit(0))) * den >= F.col("n") * num)
     ids = stash.put(open_sets.select(F.col("rep").alias("id")).distinct())
-    nodes = stash.put(_signatures(of_ids(texts, F.col("id"), ids).dropDuplicates(["id", "text"]), words, num, den, lower).where("size(keys) > 0"))
+    repeated = stash.put(named.groupBy("id").agg(F.count("*").alias("times")).where("times > 1").select("id"))
+    wanted = of_ids(texts, F.col("id"), ids)
+    if repeated.limit(1).count():  # rows that repeat id and text; only they are shuffled for that
+        wanted = not_of_ids(wanted, F.col("id"), repeated).unionByName(of_ids(wanted, F.col("id"), repeated).dropDuplicates(["id", "text"]))
+    nodes = stash.put(_signatures(wanted, words, num, den, lower).where("size(keys) > 0"))
 
     # tiles of one set are of no use
     dealt = nodes.select(F.explode("keys").alias("key"), "id")
@@ -405,16 +426,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     open_tiles = of_tile.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     left = stash.put(of_tile.join(open_tiles, "key", "left_semi"))
     stash.drop(shared)
-    crowd = stash.put(_tiles(left).where(F.col("members") - F.col("most") > crowded))
-    pairs_now = crowd.agg(F.sum(F.col("members") * (F.col("members") - F.col("most")))).first()[0]
-    if pairs_now:
+    cost = F.col("members") * (F.col("members") - F.col("most"))
+    for seed in range(SEEDS, SEEDS + REDEALS):
+        crowd = stash.put(_tiles(left).where(F.col("members") - F.col("most") > crowded))
+        pairs_now = crowd.agg(F.sum(cost)).first()[0]
+        if not pairs_now:
+            break
         dense = left.join(crowd.select("key"), "key", "left_semi")
-        again = _redealt(sets.join(dense.select("id").distinct(), "id", "left_semi"), num, den, SEEDS)
+        again = _redealt(sets.join(dense.select("id").distinct(), "id", "left_semi"), num, den, seed)
         dense = stash.put(dense.join(again, "id").select(F.explode("keys").alias("part"), "key", "id", "component").select(F.xxhash64("key", "part").alias("key"), "id", "component").distinct())
         again = _tiles(dense).where("members > most")
-        if (again.agg(F.sum(F.col("members") * (F.col("members") - F.col("most")))).first()[0] or 0) < pairs_now:
-            dense = dense.join(again.select("key"), "key", "left_semi").select(*left.columns)
-            left = stash.put(left.join(crowd.select("key"), "key", "left_anti").unionByName(dense))
+        if (again.agg(F.sum(cost)).first()[0] or 0) >= pairs_now * WORTH:
+            break
+        dense = dense.join(again.select("key"), "key", "left_semi").select(*left.columns)
+        left = stash.put(left.join(crowd.select("key"), "key", "left_anti").unionByName(dense))
     # every pair of different components has one side outside the tile's largest component
     left = left.join(_tiles(left).select("key", "main"), "key").join(maps, "id")
     one = left.where("component <> main").select("key", "main", F.col("component").alias("ca"), *[F.col(c).alias("a" if c == "id" else f"a_{c}") for c in ("id", "n", *bits)])

@@ -74,22 +74,22 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH texts AS (
-  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
+  SELECT page_id, ' ' || chr(9) || chr(13) || chr(11) || chr(12) AS blanks, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
     string_split(coalesce(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
       '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g'),
       '(?i)</?(p|div|li|ul|ol|h[1-6]|nav|article|section|header|footer|aside|main|table|br|tr|td|th|title|body|html|head)\b[^>]*>', chr(10), 'g'),
       '<[^>]*>', '', 'g'), '[ \t]+', ' ', 'g'), ''), chr(10)) AS lines
   FROM pages),
-seen AS (SELECT DISTINCT page_id, host, trim(unnest(lines)) AS line FROM texts),
+seen AS (SELECT DISTINCT page_id, host, trim(unnest(lines), blanks) AS line FROM texts),
 totals AS (SELECT host, count(*) AS total FROM texts GROUP BY host),
 common AS (
   SELECT s.host, s.line FROM seen s JOIN totals t ON s.host = t.host WHERE s.line <> ''
   GROUP BY s.host, s.line, t.total HAVING count(*) >= 2 AND count(*) > CAST(0.1 AS DOUBLE) * t.total),
 listed AS (SELECT host, list(line) AS common FROM common GROUP BY host),
 cut AS (
-  SELECT page_id, lines, list_filter(lines, lambda x: trim(x) = '' OR NOT list_contains(coalesce(common, []), trim(x))) AS kept
+  SELECT page_id, blanks, lines, list_filter(lines, lambda x: trim(x, blanks) = '' OR NOT list_contains(coalesce(common, []), trim(x, blanks))) AS kept
   FROM texts LEFT JOIN listed ON texts.host = listed.host)
-SELECT page_id, CAST(len(list_filter(lines, lambda x: trim(x) <> '')) AS BIGINT) AS n_lines,
+SELECT page_id, CAST(len(list_filter(lines, lambda x: trim(x, blanks) <> '')) AS BIGINT) AS n_lines,
   CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256
 FROM cut
 """

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from surfaceworks.llm import embed_dedup, ngram_join
@@ -164,3 +165,21 @@ def test_embeddings_of_one_hot_topic_against_all_pairs(spark):
     got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.dedup(df).collect()}
     top = roots(range(5000), [(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True) if a < b])
     assert near.sum() > 200 and got == {i: (int(near[i].sum()), top[i]) for i in range(5000)}
+
+
+def test_equal_documents_go_to_all_buckets():
+    f1 = np.ones(10_000, np.uint64)
+    for ids in (pa.nulls(10_000, pa.int64()), pa.array(np.arange(10_000))):
+        counts = np.bincount(ngram_join._homes(f1, ids, 12), minlength=12)
+        assert counts.min() > 600 and counts.max() < 1100
+    assert len(ngram_join._homes(f1[:0], pa.array([], pa.int64()), 12)) == 0
+
+
+def test_crowded_tiles_are_dealt_again(spark):
+    """Texts that share long passages in turn fill tiles with pairs that don't link; dealt again or not, the links are the same."""
+    r = random.Random(6)
+    passage = [f"p{i}" for i in range(400)]
+    texts = [" ".join([*passage, *(f"w{r.random()}" for _ in range(30 + i % 40))]) for i in range(120)] + [" ".join(passage), " ".join(passage + ["x"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [{r.doc_id: r.component_id for r in ngram_join.join(docs, crowded=c).collect()} for c in (0, 10**9)]
+    assert got[0] == got[1] and got[0][121] == got[0][120]

@@ -44,3 +44,16 @@ def test_boilerplate_goes_from_documents_that_are_mostly_boilerplate(spark):
     rows = [(i, f"{common}\nown {i}", "en", "s", 0) for i in range(30)] + [(100 + i, "one text\nof which\nthere are copies", "en", "s", 0) for i in range(20)]
     got = {r.doc_id: r.text for r in corpus_pipeline.without_boilerplate(spark, spark.createDataFrame(rows, DOCS), "").collect()}
     assert got == {i: f"own {i}" if i < 100 else t for i, t, *_ in rows}
+
+
+def test_near_copies_dont_empty_each_other(spark):
+    """Two near copies in a source of 12: the lines they share stay, and the join keeps one of them whole."""
+    lines = [f"line {k} says what no other says, {k * k} and {k + 7}" for k in range(20)]
+    rows = [(i, "\n".join(f"text {i} line {k} alone {i * k}" for k in range(5)), "en", "s", 0) for i in range(10)]
+    rows += [(20, "\n".join(lines), "en", "s", 0), (21, "\n".join([*lines, "one more line"]), "en", "s", 0)]
+    kept = corpus_pipeline.without_boilerplate(spark, spark.createDataFrame(rows, DOCS), "")
+    assert {r.doc_id: r.text for r in kept.collect()} == {i: t for i, t, *_ in rows}
+    assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, kept, "").collect()} == {*range(10), 20}
+    banner = [(i, f"{t}\na line on every page of this source\r", *rest) for i, t, *rest in rows]
+    kept = corpus_pipeline.without_boilerplate(spark, spark.createDataFrame(banner, DOCS), "")
+    assert {r.doc_id: r.text for r in kept.collect()} == {i: t for i, t, *_ in rows}

@@ -1,4 +1,5 @@
 import itertools
+import random
 import zlib
 
 import numpy as np
@@ -31,6 +32,17 @@ def test_encoder_agrees_with_the_library_on_slices():
             at += k
 
 
+def test_encoder_agrees_with_the_library_on_signs():
+    """All ASCII control signs and Latin-1 letters between what the file cuts, the vertical tab included."""
+    r = random.Random(4)
+    parts = [chr(c) for c in range(1, 256)] + ["'s", "'ll", "say", "it", "!", "2", "\x0b", " ", "\x0b'", "é"] * 12
+    texts = ["say it!\x0b's", *("".join(r.choices(parts, k=12)) for _ in range(20_000))]
+    ids, counts = encoder("word_bpe_49k.json").encode(pa.array(texts), 1)
+    ends = np.cumsum(counts)
+    bad = [t for t, a, b in zip(texts, ends - counts, ends, strict=True) if ids[a:b].tolist() != ids_of(t)]
+    assert not bad, bad[:3]
+
+
 def test_packing_covers_each_id_once(odd, empty):
     rows = packing.pack(odd, length=64).orderBy("sequence_id", "offset").collect()
     for s, group in itertools.groupby(rows, lambda r: r.sequence_id):
