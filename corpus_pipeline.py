@@ -25,8 +25,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that more than a tenth of a source's documents hold go from every document; exact copies count as one document."""
-    kept = lines.drop_boilerplate(docs, F.col("source"), copies_once=True, counts=None)
+    """Lines that more than a tenth of a source's documents hold go from every document; copies and near copies count as one document.
+
+    Near copies are those of the next stage, so no text is lost to its own copies.
+    """
+
+    def near(holders: DataFrame) -> DataFrame:
+        found = ngram_join.join(holders, "id", "text", words=5, num=80, den=100)
+        return found.select(F.col("doc_id").alias("id"), F.col("component_id").alias("group"))
+
+    kept = lines.drop_boilerplate(docs, F.col("source"), counts=None, near=near)
     return kept.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
