@@ -7,10 +7,10 @@ content_blocks, text_len, rpc_error, is_rpc_error, is_tool_error. ``lines``: one
 log with log, line, line_kind (header, frame, unreadable, unrecognised), dir, bytes, ts, batch and
 what a header says.
 
-Requests and responses of a key meet in one window: a response is matched if what precedes it is a
-request, a request repeats an id if what precedes it is a request, and stays unanswered if it is the
-last. Every operator here groups by log first, so a log's rows meet in one task and no log waits for
-another.
+Requests and responses of a key are neighbours in the order of the log: a response is matched if what
+precedes it is a request, a request repeats an id if what precedes it is a request, and stays
+unanswered if it is the last. ``ordered.neighbours`` finds them, in windows or, where one log or id has
+too many messages for a task, in ranges. The rest are aggregations, in which no log needs a task of its own.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.figures import epoch_ns
+from ..stash import held
+from .ordered import MOST_ROWS, neighbours
 
 TOOL_CALL = "tools/call"
 _AT = ("line", "item")
@@ -34,7 +36,7 @@ def span_ms(start_ns: Column, end_ns: Column) -> Column:
     return F.call_function("div", end_ns - start_ns, F.lit(1_000_000).cast("long"))
 
 
-def correlated(messages: DataFrame) -> DataFrame:
+def correlated(messages: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     """Requests, and all responses, with state: matched / unmatched for responses, first / duplicate for requests.
 
     A matched response has its request's line, method and place among the calls; a request has its
@@ -42,20 +44,18 @@ def correlated(messages: DataFrame) -> DataFrame:
     """
     key = F.when(F.col("kind") == "request", opposite(F.col("dir"))).otherwise(F.col("dir"))
     events = messages.where("kind = 'response' or (kind = 'request' and id is not null)").withColumn("key_dir", key).withColumn("key_id", F.coalesce("id", F.lit("")))
-    order = Window.partitionBy("log", "key_dir", "key_id").orderBy(*_AT)
-    before = lambda c: F.lag(c).over(order)
-    after = F.lead("kind").over(order)
+    events = neighbours(events, ["log", "key_dir", "key_id"], list(_AT), before=["kind", "line", "method", "ts_ns"], after=["kind", "line", "item"], most_rows=most_rows)
     response = F.col("kind") == "response"
-    asked = before("kind") == "request"
+    asked = F.coalesce(F.col("before.kind") == "request", F.lit(False))
     return events.select(
-        "*",
+        *messages.columns, "key_dir", "key_id",
         F.when(response, F.when(asked, "matched").otherwise("unmatched")).when(asked, "duplicate").otherwise("first").alias("state"),
-        F.when(response & asked, before("line")).alias("request_line"),
-        F.when(response & asked, before("method")).alias("request_method"),
-        F.when(response & asked, span_ms(before("ts_ns"), F.col("ts_ns"))).alias("latency_ms"),
-        (~response & after.isNull()).alias("unanswered"),
-        F.when(~response & (after == "response"), F.struct(*[F.lead(c).over(order).alias(c) for c in ("line", "item")])).alias("answer"),
-    )
+        F.when(response & asked, F.col("before.line")).alias("request_line"),
+        F.when(response & asked, F.col("before.method")).alias("request_method"),
+        F.when(response & asked, span_ms(F.col("before.ts_ns"), F.col("ts_ns"))).alias("latency_ms"),
+        (~response & F.col("after").isNull()).alias("unanswered"),
+        F.when(~response & (F.col("after.kind") == "response"), F.struct("after.line", "after.item")).alias("answer"),
+    )
 
 
 def pairs(messages: DataFrame) -> DataFrame:
@@ -68,11 +68,11 @@ def _calls(method: str = TOOL_CALL) -> Column:
     return (F.col("kind") == "request") & (F.col("method") == method)
 
 
-def retries(messages: DataFrame, method: str = TOOL_CALL) -> DataFrame:
+def retries(messages: DataFrame, method: str = TOOL_CALL, most_rows: int = MOST_ROWS) -> DataFrame:
     """(log, line, item, seq, is_retry) of calls: a retry has the canonical parameters of the call just before it in the log."""
-    order = Window.partitionBy("log").orderBy(*_AT)
-    same = F.coalesce(F.lag("params").over(order) == F.col("params"), F.lit(False))
-    return messages.where(_calls(method)).select("log", "line", "item", F.row_number().over(order).cast("long").alias("seq"), same.alias("is_retry"))
+    calls = messages.where(_calls(method)).select("log", "line", "item", "params")
+    calls = neighbours(calls, ["log"], list(_AT), before=["params"], place="seq", most_rows=most_rows)
+    return calls.select("log", "line", "item", "seq", F.coalesce(F.col("before.params") == F.col("params"), F.lit(False)).alias("is_retry"))
 
 
 def tool_calls(messages: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def found_warnings(messages: DataFrame, lines: DataFrame) -> DataFrame:
     state = F.when(F.col("state") == "duplicate", say(C.REUSED_ID, number, key)).when(F.col("state") == "unmatched", say(C.LOST_RESPONSE, number, key))
     states = correlated(messages).select("log", "line", "item", state.alias("warning"))
     counted, told = totals(messages, lines), sessions(lines)
-    last = lambda rows, item, when, text: rows.where(when).select("log", F.lit(2**31 - 1).alias("line"), F.lit(item).alias("item"), text.alias("warning"))
+    last = lambda rows, item, when, text: rows.where(when).select("log", F.lit(2**62).alias("line"), F.lit(item).alias("item"), text.alias("warning"))
     ends = [
         last(counted, 0, "tool_responses > full_results", say(C.NO_RESULT_TOKENS, F.col("full_results"), F.col("tool_responses"))),
         last(told, 1, "versions is not null", say(C.MIXED_VERSIONS, F.size("versions"), F.array_join("versions", " "))),
@@ -184,9 +184,10 @@ def found_warnings(messages: DataFrame, lines: DataFrame) -> DataFrame:
 
 def warnings(found: DataFrame, most: int = C.MOST_WARNINGS) -> DataFrame:
     """(log, warnings): the first ``most`` of (log, line, item, warning), then how many more there were."""
-    order = Window.partitionBy("log").orderBy(*_AT)
-    rows = found.withColumn("k", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("log")))
-    kept = rows.where(F.col("k") <= most).groupBy("log").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "warning"))), lambda x: x["warning"]).alias("w"), F.max("n").alias("n"))
+    # a limited rank: Spark keeps the first ones of each task before they meet
+    first = found.withColumn("k", F.row_number().over(Window.partitionBy("log").orderBy(*_AT))).where(F.col("k") <= most)
+    kept = first.groupBy("log").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "warning"))), lambda x: x["warning"]).alias("w"))
+    kept = kept.join(found.groupBy("log").agg(F.count("*").alias("n")), "log")
     more = F.when(F.col("n") > most, F.array(F.format_string(C.MORE_WARNINGS, F.col("n") - most))).otherwise(F.array().cast("array<string>"))
     return kept.select("log", F.concat("w", more).alias("warnings"))
 
@@ -195,13 +196,16 @@ def sessions(lines: DataFrame) -> DataFrame:
     """(log, sessions, version, started_at, server_cmd, versions) of the header lines; versions, in the order seen, only if they differ."""
     head = F.col("line_kind") == "header"
     first = lambda c: F.min_by(c, F.when(head, F.col("line")))
-    seen = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(head, F.struct("line", "interposer_version")))), lambda x: x["interposer_version"]))
-    rows = lines.groupBy("log").agg(F.count_if(head).alias("sessions"), *[F.when(F.count_if(head) > 0, first(c)).alias(n) for c, n in (("interposer_version", "version"), ("started_at", "started_at"), ("server_cmd", "server_cmd"))], seen.alias("versions"))
+    each = lines.where(head).groupBy("log", "interposer_version").agg(F.min("line").alias("line"))
+    seen = each.groupBy("log").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "interposer_version"))), lambda x: x["interposer_version"]).alias("versions"))
+    rows = lines.groupBy("log").agg(F.count_if(head).alias("sessions"), *[F.when(F.count_if(head) > 0, first(c)).alias(n) for c, n in (("interposer_version", "version"), ("started_at", "started_at"), ("server_cmd", "server_cmd"))])
+    rows = rows.join(seen, "log", "left")
     return rows.withColumn("versions", F.when(F.size("versions") > 1, F.col("versions")))
 
 
 def reports(messages: DataFrame, lines: DataFrame) -> DataFrame:
-    """One nested row per log: its header's stamps, wall, totals, tool_calls, methods and warnings, as a trial's report holds them."""
+    """One nested row per log: its header's stamps, wall, totals, tool_calls, methods and warnings, as a trial's report holds them. Runs jobs."""
+    messages, lines = held(messages, "messages"), held(lines, "log-lines")  # read and parsed once for all that follows
     stamps = lines.where("line_kind = 'frame' and ts <> ''").groupBy("log").agg(F.min_by("ts", "line").alias("first_frame"), F.max_by("ts", "line").alias("last_frame"))
     counted = totals(messages, lines).drop("tool_responses", "full_results")
     nested = counted.select("log", F.struct(*[c for c in counted.columns if c != "log"]).alias("totals"))

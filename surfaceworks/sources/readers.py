@@ -1,7 +1,7 @@
 """Sources. All reading goes through Spark, so any store that Spark can open will do.
 
-Order within a file matters to what is read here, so files are read whole and split into numbered
-lines; the formats bound a file's size (a trial's log, a server's pages).
+Order within a file matters to what is read here, so lines are numbered; files are split into blocks
+like others, and may have any size.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..constants import MOST_LINE_BYTES, MOST_PAGES, NEGOTIATE
 from ..functions import ordered_json
 from ..functions.figures import epoch_ns
+from ..stash import held
 
 CORPUS = """id string, name string, category string, maintainer_type string, repo string, endpoint string, transport array<string>,
 auth struct<required:boolean,token_env:string>, package map<string,struct<type:string,name:string,version:string,image:string,command:string,args:array<string>,with:array<string>>>, flags array<map<string,string>>"""
@@ -32,10 +33,20 @@ analyze struct<sessions:int,tool_calls:int,tool_call_arg_tokens:long,tool_call_r
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text): numbered from 0; a newline at the end begins no line."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    text = F.regexp_replace("value", r"\n\z", "")
-    return whole.where(F.length("value") > 0).select("file", F.posexplode(F.split(text, "\n", -1)).alias("line", "text"))
+    """(file, line, text): numbered from 0; a newline at the end begins no line. Runs a job.
+
+    Files are read in blocks, as many tasks as they have; lines end at newlines alone, so a carriage return
+    stays. The blocks' lines are counted, and their prefix sums over the file number them: only a row for
+    each block meets in one place. Texts are written once with their places in the blocks, so numbers
+    don't depend on blocks being cut alike when something is read again. An empty file has no lines.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
+    raw = held(raw, "lines")
+    blocks = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    blocks = blocks.select(F.col("file").alias("of"), F.col("block").alias("b"), (before - F.col("first")).alias("shift"))
+    return raw.join(blocks, (F.col("file") == F.col("of")) & (F.col("block") == F.col("b"))).select("file", (F.col("at") + F.col("shift")).alias("line"), "text")
 
 
 def server_of(file: Column, suffix: str) -> Column:
