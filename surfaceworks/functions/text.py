@@ -39,7 +39,12 @@ def tokens(c: Column, keep_short: bool = False) -> Column:
 
 def content_words(c: Column) -> Column:
     """Tokens without stopwords, in order and with repetition."""
-    return F.filter(tokens(c), lambda x: ~x.isin(*STOPWORDS))
+    return content(tokens(c))
+
+
+def content(words: Column) -> Column:
+    """Of tokens those that are no stopwords."""
+    return F.filter(words, lambda x: ~x.isin(*STOPWORDS))
 
 
 def _any(conditions) -> Column:
