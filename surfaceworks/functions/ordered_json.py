@@ -376,6 +376,33 @@ def inlined(c: Column) -> Column:
     return run(c)
 
 
+def encoder_of(path: str):
+    """A factory for ``token_count`` of the encoder in a tokenizers file; a path without a slash names one of public_tokenizers."""
+
+    def make():
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        file = path
+        if "/" not in path:
+            import public_tokenizers
+
+            file = public_tokenizers.path(path)
+        return _Library(Tokenizer.from_file(file))
+
+    return make
+
+
+class _Library:
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def encode_batch(self, texts: list[str]) -> list:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def token_count(c: Column, encoder_factory) -> Column:
     """Tokens of a text by the encoder that ``encoder_factory()`` makes once in each worker (it has ``encode_batch(texts) -> lists``)."""
     cache: list = []

@@ -118,9 +118,9 @@ def with_place(rows: DataFrame, keys: list[Column], place: str = "place") -> Dat
 
 
 def leaderboard(rows: DataFrame, key: str, ascending: bool = False) -> DataFrame:
-    """Rows with data first, then by key with nulls last in both directions, then by server."""
-    order = F.asc_nulls_last(key) if ascending else F.desc_nulls_last(key)
-    return rows.orderBy(F.desc("data_ok"), order, "server")
+    """Adds place: rows with data first, then by the number ``key`` with nulls last in both directions, then by server. Runs a job."""
+    value = F.col(key) if ascending else -F.col(key)
+    return with_place(rows, [~F.col("data_ok"), F.col(key).isNull(), value, F.col("server")])
 
 
 def tool_call_gap(served: DataFrame, client: DataFrame, wire: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import STOPWORDS
+from ..operators import stack
 from .registry import table
 
 
@@ -90,6 +91,27 @@ events AS (SELECT *, lag(kind) OVER o AS before, lag(line) OVER o AS before_line
   FROM talk WHERE keyed WINDOW o AS (PARTITION BY log ORDER BY line))"""
 
 
+def raw_talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B3 as lines of a log file (file, line, text): headers, batches of three, unreadable and unknown lines, frames that can't be read, plain frames."""
+    c = table(spark, sf_dir, "conversations")
+    size, k = F.octet_length("text"), (F.col("conv_id") + 3 * F.col("turn")) % 11
+    to = F.when(F.col("role") == "assistant", "s2c").otherwise("c2s")
+    frame = '{"ts":"","dir":"%s","size_bytes":%d,'
+    args = F.concat(F.lit('"'), F.repeat(F.lit("a"), size - 2), F.lit('"'))
+    call = F.format_string('"method":"tools/call","id":%d,"params_full":%s}', "turn", F.when(size >= 2, args).otherwise(F.repeat(F.lit("1"), size)))
+    answer = F.format_string('"id":%d,"is_response":true,"error":%s,"result_summary":{"is_error":%s,"bytes":3}}', "turn", F.when(size % 7 == 0, '{"code":1,"message":"x"}').otherwise("null"), (size % 11 == 0).cast("string"))
+    plain = F.concat(F.format_string(frame, to, size), F.when(F.col("role") == "user", call).when(F.col("role") == "assistant", answer).otherwise('"method":"notify"}'))
+    batch = F.concat(F.format_string(frame, to, size), F.lit('"batch":true,"items":[{"method":"tools/call","id":"b","params_full":{}},{"method":"x"},{"neither":[1,2]}]}'))
+    broken = F.concat(F.format_string(frame, to, size), F.lit('"unparseable":true}'))
+    head = F.format_string('{"interposer_version":"v%d"}', F.col("turn") % 3)
+    line = F.when(k == 0, head).when(k == 1, batch).when(k == 2, "{not json").when(k == 3, '{"some":"thing"}').when(k == 4, broken).otherwise(plain)
+    return c.select(F.col("conv_id").alias("file"), F.col("turn").alias("line"), line.alias("text"))
+
+
+RAW_TALK = """raw_talk AS (SELECT *, what IN ('batch', 'broken', 'plain') AS frame FROM (SELECT conv_id AS log, turn AS line, role, octet_length(encode(text)) AS size,
+  CASE (conv_id + 3 * turn) % 11 WHEN 0 THEN 'head' WHEN 1 THEN 'batch' WHEN 2 THEN 'bad' WHEN 3 THEN 'odd' WHEN 4 THEN 'broken' ELSE 'plain' END AS what FROM conversations))"""
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B4: a user's events are a log of calls in the order of time."""
     e = table(spark, sf_dir, "events")
@@ -134,7 +156,7 @@ def stack_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("server"), F.when(F.col("p_size") % 10 == 0, "auth").otherwise("ok").alias("status"),
         F.when(F.col("p_size") % 7 != 0, (F.col("p_retailprice") * 10).cast("long")).alias("total"), F.col("p_size").cast("long").alias("n_tools"),
     )
-    return lines.select(F.col("l_orderkey").alias("stack"), F.col("l_partkey").alias("server")).distinct().join(servers, "server")
+    return stack.chosen(lines.select(F.col("l_orderkey").alias("stack"), F.col("l_partkey").alias("server")).distinct(), servers)
 
 
 MODED = """rows AS (SELECT DISTINCT l_orderkey AS stack, l_partkey AS server FROM lineitem),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..constants import AUTH, REFUSALS, TIMEOUT, UNREACHABLE, WHEN_TO_USE
 from ..functions import figures, ordered_json, text
 from ..operators import acquisition, frames, hygiene, retrieval, stack, trials
+from ..sources import readers
+from ..stash import held
 from . import bindings as b
 from .registry import query, table
 
@@ -56,12 +58,7 @@ def naming_clarity(spark, d):
 
 
 SIMILAR = f"""sets AS (SELECT server, tool, name, list_distinct({b.sql_content('descriptor')}) AS s FROM tools),
-each AS (SELECT server, tool, len(s) AS n, unnest(s) AS token FROM sets),
-often AS (SELECT server, token, count(*) AS df FROM each GROUP BY ALL),
-placed AS (SELECT e.*, row_number() OVER (PARTITION BY e.server, tool ORDER BY df, e.token) AS k FROM each e JOIN often o ON e.server = o.server AND e.token = o.token),
-rare AS (SELECT * FROM placed WHERE k <= n - ceil({D(0.6)} * n) + 1),
-near AS (SELECT DISTINCT a.server, a.tool AS ta, b.tool AS tb FROM rare a JOIN rare b ON a.server = b.server AND a.token = b.token AND a.tool < b.tool AND least(a.n, b.n) >= {D(0.6)} * greatest(a.n, b.n)),
-compared AS (SELECT n.server, ta, tb, x.name AS a, y.name AS b, len(list_intersect(x.s, y.s)) AS c, len(x.s) AS na, len(y.s) AS nb FROM near n JOIN sets x ON n.server = x.server AND n.ta = x.tool JOIN sets y ON n.server = y.server AND n.tb = y.tool),
+compared AS (SELECT x.server, x.tool AS ta, y.tool AS tb, x.name AS a, y.name AS b, len(list_intersect(x.s, y.s)) AS c, len(x.s) AS na, len(y.s) AS nb FROM sets x JOIN sets y ON x.server = y.server AND x.tool < y.tool WHERE len(x.s) > 0 AND len(y.s) > 0),
 pairs AS (SELECT server, ta, tb, a, b, {ROUND('c / CAST(na + nb - c AS DOUBLE)', 4)} AS similarity FROM compared WHERE c / CAST(na + nb - c AS DOUBLE) >= {D(0.6)})"""
 
 
@@ -187,6 +184,37 @@ def frame_totals(spark, d):
     return frames.totals(b.talk(spark, d)).drop("tool_responses", "full_results")
 
 
+@query(
+    f"""WITH {b.RAW_TALK}
+SELECT log, count(*) FILTER (frame) AS frames, count(*) FILTER (frame AND role <> 'assistant') AS frames_c2s, count(*) FILTER (frame AND role = 'assistant') AS frames_s2c,
+  CAST(coalesce(sum(size) FILTER (frame), 0) AS BIGINT) AS bytes, CAST(coalesce(sum(size) FILTER (frame AND role <> 'assistant'), 0) AS BIGINT) AS bytes_c2s, CAST(coalesce(sum(size) FILTER (frame AND role = 'assistant'), 0) AS BIGINT) AS bytes_s2c,
+  count(*) FILTER (what = 'batch') AS batch_frames, 3 * count(*) FILTER (what = 'batch') AS batch_messages, count(*) FILTER (what = 'bad') AS unparseable_lines, count(*) FILTER (what = 'broken') AS unparseable_frames,
+  count(*) FILTER (what = 'odd') + count(*) FILTER (what = 'batch') AS unrecognized_lines, count(*) FILTER (what = 'batch') + count(*) FILTER (what = 'plain' AND role = 'user') AS requests,
+  count(*) FILTER (what = 'batch') + count(*) FILTER (what = 'plain' AND role NOT IN ('user', 'assistant')) AS notifications, count(*) FILTER (what = 'plain' AND role = 'assistant') AS responses,
+  count(*) FILTER (what = 'batch') + count(*) FILTER (what = 'plain' AND role = 'user') AS tool_calls, count(*) FILTER (what = 'plain' AND role = 'assistant' AND size % 7 = 0) AS jsonrpc_errors,
+  count(*) FILTER (what = 'plain' AND role = 'assistant' AND size % 11 = 0) AS tool_errors, CAST(coalesce(sum(size) FILTER (what = 'plain' AND role = 'user'), 0) + 2 * count(*) FILTER (what = 'batch') AS BIGINT) AS tool_call_arg_bytes
+FROM raw_talk GROUP BY log"""
+)
+def raw_log_totals(spark, d):
+    """Counters of logs with batches, headers, unreadable lines and frames of lines as they are written."""
+    of_lines = held(readers.parsed_lines(b.raw_talk(spark, d)), "log-lines")
+    out = frames.totals(held(readers.frame_messages(of_lines), "messages"), of_lines)
+    return out.select(
+        "log", "frames", "frames_c2s", "frames_s2c", "bytes", "bytes_c2s", "bytes_s2c", "batch_frames", "batch_messages", "unparseable_lines", "unparseable_frames", "unrecognized_lines", "requests", "notifications", "responses",
+        "tool_calls", "jsonrpc_errors", "tool_errors", "tool_call_arg_bytes",
+    )
+
+
+@query(
+    f"""WITH {b.RAW_TALK}, heads AS (SELECT log, line, 'v' || line % 3 AS version FROM raw_talk WHERE what = 'head'),
+firsts AS (SELECT log, version, min(line) AS line FROM heads GROUP BY log, version), listed AS (SELECT log, string_agg(version, ' ' ORDER BY line) AS versions, count(*) AS n FROM firsts GROUP BY log)
+SELECT r.log, count(h.line) AS sessions, arg_min(h.version, h.line) AS version, CASE WHEN any_value(n) > 1 THEN any_value(versions) END AS versions FROM raw_talk r LEFT JOIN heads h ON r.log = h.log AND r.line = h.line LEFT JOIN listed l ON r.log = l.log GROUP BY r.log"""
+)
+def log_sessions(spark, d):
+    told = frames.sessions(readers.parsed_lines(b.raw_talk(spark, d)))
+    return told.select("log", "sessions", "version", F.array_join("versions", " ").alias("versions"))
+
+
 @query(
     f"""WITH {b.TALK}, {CALLS} SELECT c.log, c.seq, c.tool, c.bytes AS arg_bytes, c.tokens AS arg_tokens, c.again AS retry, after IS NOT DISTINCT FROM 'response' AS answered,
   CASE WHEN after = 'response' THEN after_bytes END AS result_bytes, CASE WHEN after = 'response' THEN after_tokens END AS result_tokens, CASE WHEN after = 'response' THEN after_error END AS is_tool_error,
@@ -276,10 +304,10 @@ def cell_rollup(spark, d):
 
 @query(
     f"""WITH {b.TRIALS} SELECT count(*) - count(DISTINCT (suite_version, server, client, task, trial)) AS superseded_trial_rows, string_agg(DISTINCT suite_version, ',') AS suite_versions, count(DISTINCT suite_version) > 1 AS mixed_suite_versions,
-  (SELECT bool_or(l_returnflag = 'R') FROM lineitem WHERE l_orderkey < 50) AS version_drift, (SELECT count(*) FILTER (l_returnflag = 'R') FROM lineitem WHERE l_orderkey < 50) AS n_drifted FROM trials"""
+  (SELECT bool_or(o_orderstatus = 'P') FROM orders) AS version_drift, (SELECT count(*) FILTER (o_orderstatus = 'P') FROM orders) AS n_drifted FROM trials"""
 )
 def run_flags(spark, d):
-    footers = table(spark, d, "lineitem").where("l_orderkey < 50").select(F.col("l_orderkey").alias("run_id"), (F.col("l_returnflag") == "R").alias("version_drift"))
+    footers = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), (F.col("o_orderstatus") == "P").alias("version_drift"))
     out = trials.flags(b.trials(spark, d), footers)
     return out.select("superseded_trial_rows", F.array_join("suite_versions", ",").alias("suite_versions"), "mixed_suite_versions", "version_drift", F.size("drifted_runs").cast("long").alias("n_drifted"))
 
@@ -370,8 +398,7 @@ def leaderboard_sorted(spark, d):
     rows = table(spark, d, "supplier").join(used, F.col("s_suppkey") == F.col("l_suppkey"), "left")
     status = F.when(F.col("naive").isNotNull(), "ok").otherwise("unreachable")
     rows = rows.select(F.col("s_suppkey").alias("server"), status.alias("status"), F.lit(None).cast("boolean").alias("available"), F.col("naive").alias("total"), F.col("tools").alias("tool_count"))
-    rows = stack.leaderboard_columns(rows).select("server", "data_ok", "naive", "per_tool")
-    return stack.with_place(rows, [~F.col("data_ok"), F.coalesce(-F.col("per_tool"), F.lit(2**62)), F.col("server")])
+    return stack.leaderboard(stack.leaderboard_columns(rows).select("server", "data_ok", "naive", "per_tool"), "per_tool")
 
 
 ERRORS = ("ok", "dial tcp: connection refused", "context deadline exceeded", "HTTP 403 Forbidden", "unexpected end of JSON")

@@ -64,11 +64,10 @@ def credential_outcomes(spark, d):
 
 
 @query(
-    "SELECT CAST(s_suppkey AS VARCHAR) AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'official' ELSE 'community' END AS maintainer, s_suppkey % 4 < 2 AS auth_required, 'a: x|z: ' || s_suppkey || '|k: v' AS flags, s_suppkey % 7 = 4 AS remote FROM supplier WHERE s_suppkey % 10 <> 3 AND s_suppkey < 5000"
+    "SELECT CAST(s_suppkey AS VARCHAR) AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'official' ELSE 'community' END AS maintainer, s_suppkey % 4 < 2 AS auth_required, 'a: x|z: ' || s_suppkey || '|k: v' AS flags, s_suppkey % 7 = 4 AS remote FROM supplier WHERE s_suppkey NOT IN (3, 13, 23)"
 )
 def corpus_fields(spark, d):
-    c = _suppliers(spark, d).where(F.col("id").cast("long") < 5000)
-    c = readers.chosen(c, None, [str(i) for i in range(3, 5000, 10)])
+    c = readers.chosen(_suppliers(spark, d), None, ["3", "13", "23"])
     maintainer = F.when(F.col("maintainer_type") == "official", "official").otherwise("community")
     return c.select("id", maintainer.alias("maintainer"), readers.auth_required(F.col("auth")).alias("auth_required"), F.array_join(readers.flag_lines(F.col("flags")), "|").alias("flags"), acquisition.declares("remote").alias("remote"))
 
@@ -119,14 +118,14 @@ def negotiations(spark, d):
 
 
 @query(
-    """WITH p AS (SELECT l_orderkey AS server, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS page_no, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE l_orderkey % 50 < 40),
+    """WITH p AS (SELECT l_orderkey AS server, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS page_no, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
 e AS (SELECT server, page_no, CASE WHEN page_no = 2 AND server % 4 = 0 THEN 'timeout' WHEN page_no = 1 AND server % 4 = 1 THEN 'malformed ListToolsResult' WHEN page_no = 3 AND n > 4 THEN 'pagination exceeded 4 pages' END AS why, page_no = n - 1 AS last FROM p WHERE page_no < 4),
 f AS (SELECT server, min(page_no) AS pos FROM e WHERE why IS NOT NULL OR last GROUP BY server)
 SELECT f.server, CAST(pos + CASE WHEN why IS NULL OR why LIKE 'pagination%' THEN 1 ELSE 0 END AS BIGINT) AS pages, why IS NOT NULL AND (pos > 0 OR why LIKE 'malformed%') AS partial, why AS error FROM f JOIN e ON f.server = e.server AND pos = page_no"""
 )
 def page_enumeration(spark, d):
     of = Window.partitionBy("l_orderkey")
-    line = table(spark, d, "lineitem").where("l_orderkey % 50 < 40")
+    line = table(spark, d, "lineitem")
     rows = line.select(F.col("l_orderkey").alias("server"), (F.row_number().over(of.orderBy("l_linenumber")) - 1).alias("page_no"), F.count("*").over(of).alias("n"))
     result = F.when(F.col("page_no") < F.col("n") - 1, F.lit('{"tools":[],"nextCursor":"c"}')).otherwise(F.lit('{"tools":[]}'))
     result = F.when((F.col("page_no") == 1) & (F.col("server") % 4 == 1), F.lit("[]")).otherwise(result)
@@ -230,11 +229,11 @@ def stack_labels(spark, d):
 
 
 @query(
-    """WITH chosen AS (SELECT DISTINCT l_orderkey AS stack, l_suppkey AS server FROM lineitem WHERE l_orderkey < 200), traffic AS (SELECT s_suppkey AS server, s_nationkey AS calls FROM supplier WHERE s_nationkey % 3 = 0)
+    """WITH chosen AS (SELECT DISTINCT l_orderkey AS stack, l_suppkey AS server FROM lineitem), traffic AS (SELECT s_suppkey AS server, s_nationkey AS calls FROM supplier WHERE s_nationkey % 3 = 0)
 SELECT stack, c.server, calls, calls IS NOT NULL AS measured FROM chosen c LEFT JOIN traffic t ON c.server = t.server"""
 )
 def measured_traffic(spark, d):
-    chosen = table(spark, d, "lineitem").where("l_orderkey < 200").select(F.col("l_orderkey").alias("stack"), F.col("l_suppkey").alias("server")).distinct()
+    chosen = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("stack"), F.col("l_suppkey").alias("server")).distinct()
     published = table(spark, d, "supplier").where("s_nationkey % 3 = 0").select(F.col("s_suppkey").alias("server"), F.col("s_nationkey").alias("calls"))
     there, missing = stack.measured(chosen, published)
     return there.withColumn("measured", F.lit(True)).select("stack", "server", "calls", "measured").unionByName(missing.select("stack", "server", F.lit(None).cast("int").alias("calls"), F.lit(False).alias("measured")))

@@ -138,6 +138,15 @@ def token_count(spark, d):
     return table(spark, d, "documents").select("doc_id", ordered_json.token_count(F.col("text"), Quarters).alias("tokens"))
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+@query()
+def token_count_bpe(spark, d):
+    """Tokens of every text by a real byte-pair encoder; SQL has none, so a test compares with the library."""
+    return table(spark, d, "documents").select("doc_id", ordered_json.token_count(F.col("text"), ordered_json.encoder_of(TOKENIZER)).alias("tokens"))
+
+
 _FAILED = "p_brand LIKE '%1' AND p_size = 7"
 
 

@@ -119,7 +119,12 @@ def frame_lines(spark: SparkSession, path: str) -> DataFrame:
     line counts from 0 and blank lines count. A line that is no JSON object, or longer than a log may
     hold, is unreadable.
     """
-    raw = lines(spark, path).where(F.trim("text") != "")
+    return parsed_lines(lines(spark, path))
+
+
+def parsed_lines(raw: DataFrame) -> DataFrame:
+    """The same of lines (file, line, text) from anywhere."""
+    raw = raw.where(F.trim("text") != "")
     top = raw.withColumn("m", F.when(F.octet_length("text") < MOST_LINE_BYTES, ordered_json.slices_of(F.col("text"))))
     text = lambda k: _text(F.col("m"), k)
     kind = F.when(F.col("m").isNull(), "unreadable").when(F.coalesce(text("interposer_version"), F.lit("")) != "", "header").when(F.coalesce(text("dir"), F.lit("")) != "", "frame").otherwise("unrecognised")

@@ -36,3 +36,14 @@ def test_query_agrees_with_its_sql(spark, duck, name):
     got, want = plans.QUERIES[name](spark, DATA).toPandas(), duck.execute(plans.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_token_counts_are_the_library_s(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    d = "/root/testdata/sf0.001"
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: r.tokens for r in plans.QUERIES["token_count_bpe"](spark, d).collect()}
+    assert got == {i: None if t is None else len(library.encode(t, add_special_tokens=False).ids) for i, t in texts.items()}
