@@ -143,6 +143,32 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+# --------------------------------------------------------------------------- labelled samples
+
+#: Bytes of features that a learner takes to the driver, at most.
+SAMPLE_BYTES = 96 << 20
+
+
+def learning_rows(features: DataFrame, label: str, most_bytes: int = SAMPLE_BYTES) -> pa.Table:
+    """(y, at, x) of features (id, y, at binary, x binary), one row for each id, for a learner on the driver. Runs jobs.
+
+    Of rows that share an id the one with the smallest hash counts, once. Ids come in the order of their hash, as
+    many as ``most_bytes`` hold: the sample has a bound in bytes, whatever the texts are. At most as many sizes as there are ids come first.
+    """
+    one = features.groupBy("id").agg(F.min(F.struct(F.xxhash64("at", "x").alias("h"), "y", "at", "x")).alias("r")).select("id", "r.y", "r.at", "r.x")
+    rows = Stash(features.sparkSession, label).put(one)
+    sizes = rows.select("id", F.crc32(F.reverse(F.col("id").cast("string"))).alias("h"), (F.octet_length("at") + F.octet_length("x")).cast("long").alias("n")).collect()
+    taken, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r.h, r.id)):
+        total += r.n
+        if total > most_bytes:
+            break
+        taken.append((r.id,))
+    if len(taken) < len(sizes):
+        rows = rows.join(F.broadcast(features.sparkSession.createDataFrame(taken, "id long")), "id")
+    return rows.select("y", "at", "x").toArrow()
+
+
 # --------------------------------------------------------------------------- token ids
 
 

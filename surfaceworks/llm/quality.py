@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bound_batches, chunked_words, only, remembers, segment_sums, slices
+from .base import SAMPLE_BYTES, bound_batches, chunked_words, learning_rows, only, remembers, segment_sums, slices
 
 SIZE = 1 << 18
 #: Labelled rows that the weights are learned from, at most: those with the smallest hash of the id.
@@ -112,13 +112,13 @@ def learn(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 4, alpha
     return w[:-1].astype(np.float32), float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable=None, most_rows: int = MOST_ROWS):
-    """Learn from at most ``most_rows`` labelled documents that ``usable`` (a condition on doc_id) admits. Runs a job.
+def fit(docs: DataFrame, labels: DataFrame, usable=None, most_rows: int = MOST_ROWS, most_bytes: int = SAMPLE_BYTES):
+    """Learn from at most ``most_rows`` labelled documents that ``usable`` (a condition on doc_id) admits, of ``most_bytes`` of features at most. Runs jobs.
 
     The chosen ids have a proven bound and are broadcast; texts become features where they are read,
     and only features reach the driver. Labels without an id or a quality are left out; of labels that
-    repeat an id the smallest quality counts, once. A document that repeats a labelled id counts as
-    often as it is there. No labels give the weights 0.
+    repeat an id the smallest quality counts, once; of documents that repeat an id one counts. No labels
+    give the weights 0.
     """
     ok = F.col("doc_id").isNotNull() & F.col("quality").isNotNull()
     chosen = labels.where(ok if usable is None else ok & usable).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").cast("int").alias("_y"))
@@ -131,13 +131,13 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, most_rows: int = MOST_R
                 grams, bounds, words = features(batch.column(0).slice(first, n))
                 rows = [sparse(grams[a:b], w) for a, b, w in zip(bounds[:-1], bounds[1:], words, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(first, n), pa.array([r[0].astype("<u4").tobytes() for r in rows], pa.binary()), pa.array([r[1].astype("<f4").tobytes() for r in rows], pa.binary())],
-                    ["y", "at", "x"],
+                    [batch.column(1).slice(first, n), batch.column(2).slice(first, n), pa.array([r[0].astype("<u4").tobytes() for r in rows], pa.binary()), pa.array([r[1].astype("<f4").tobytes() for r in rows], pa.binary())],
+                    ["id", "y", "at", "x"],
                 )
 
     bound_batches(docs.sparkSession)
     picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    table = picked.select("text", "_y").mapInArrow(run, "y int, at binary, x binary").toArrow()
+    table = learning_rows(picked.select("text", F.col("_id").cast("long").alias("id"), "_y").mapInArrow(run, "id long, y int, at binary, x binary"), "quality", most_bytes)
     rows = [(np.frombuffer(a.as_buffer(), "<u4").astype(np.int64), np.frombuffer(x.as_buffer(), "<f4").astype(float), y) for y, a, x in zip(table["y"].to_pylist(), table["at"], table["x"], strict=True)]
     rows.sort(key=lambda r: (len(r[0]), r[2], r[0].tobytes()))  # the order of the partitions doesn't matter
     return learn(rows)

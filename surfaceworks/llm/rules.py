@@ -163,14 +163,15 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, usable=N
     """Rules learned from at most ``most_rows`` labelled documents (quality 0 is bad) that ``usable`` (a condition on doc_id) admits. Runs a job.
 
     Labels without an id or a quality are left out; of labels that repeat an id the smallest quality
-    counts, once. Null, empty and repeated texts are rows like others. No labels give no rules. The
-    sample has a proven bound and is broadcast.
+    counts, once; of documents that repeat an id the one with the smallest statistics. Null, empty and repeated texts
+    are rows like others. No labels give no rules. The sample has a proven bound and is broadcast.
     """
     ok = F.col("doc_id").isNotNull() & F.col("quality").isNotNull()
     chosen = labels.where(ok if usable is None else ok & usable).groupBy(F.col("doc_id").alias("of")).agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.crc32(F.col("of").cast("string").cast("binary")), "of").limit(most_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of"))
-    rows = statistics(texts, "doc_id", "text", F.col("quality")).select(*FEATURES, "quality").collect()
+    each = statistics(texts, "doc_id", "text", F.col("quality")).groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("s"), F.first("quality").alias("quality"))
+    rows = each.select("s.*", "quality").collect()
     table = np.array(rows, float).reshape(-1, len(FEATURES) + 1)
     return learn(table[:, :-1], table[:, -1] == 0)
 
@@ -187,7 +188,10 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def apply(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, the statistics, base_failed, rule (the first that holds, or null), kept."""
+    """Per row: doc_id, the statistics, base_failed, rule (the first that holds, or null), kept.
+
+    A null or empty text has no words and fails the base; repeated rows are judged each; an empty table gives an empty one.
+    """
     failed = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MOST_REPEATED) * F.col("n_words"))
     out = statistics(docs, id_col, text_col).withColumn("base_failed", failed).withColumn("rule", verdict(rules))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bound_batches, chunked_words, only, segment_sums, slices
+from .base import SAMPLE_BYTES, bound_batches, chunked_words, learning_rows, only, segment_sums, slices
 
 BUCKETS = 1 << 16
 DIM = 4
@@ -94,7 +94,9 @@ def learn(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int | None = N
 
     At least 4 epochs, and about ``STEPS`` steps if the rows are few.
     """
-    epochs = epochs or max(4, -(-STEPS // max(1, len(rows))))
+    if not rows:
+        return np.zeros(BUCKETS, np.float32), 0.0
+    epochs = epochs or max(4, -(-STEPS // len(rows)))
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.03, (BUCKETS, DIM))
     soft, bias = rng.normal(0, 0.3, (DIM, 2)), np.zeros(2)
@@ -120,12 +122,12 @@ def learn(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int | None = N
     return (SCALE * (table @ (soft[:, 1] - soft[:, 0]))).astype(np.float32), float(bias[1] - bias[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable=None, most_rows: int = MOST_ROWS):
-    """Learn from at most ``most_rows`` labelled documents that ``usable`` (a condition on doc_id) admits. Runs a job.
+def fit(docs: DataFrame, labels: DataFrame, usable=None, most_rows: int = MOST_ROWS, most_bytes: int = SAMPLE_BYTES):
+    """Learn from at most ``most_rows`` labelled documents that ``usable`` (a condition on doc_id) admits, of ``most_bytes`` of bags at most. Runs jobs.
 
     The chosen ids have a proven bound and are broadcast; texts become bags where they are read, and
     only bags reach the driver. Labels without an id or a value are left out; of labels that repeat an
-    id the largest counts, once. A document that repeats a labelled id counts as often as it is there.
+    id the largest counts, once; of documents that repeat an id one counts. No labels give scores of 0.5.
     """
     ok = F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()
     chosen = labels.where(ok if usable is None else ok & usable).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_y"))
@@ -137,18 +139,16 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, most_rows: int = MOST_R
             for first, n in slices(batch.column(0)):
                 rows = text_bags(batch.column(0).slice(first, n))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(first, n), pa.array([r[0].astype("<u2").tobytes() for r in rows], pa.binary()), pa.array([r[1].astype("<f2").tobytes() for r in rows], pa.binary())],
-                    ["y", "at", "x"],
+                    [batch.column(1).slice(first, n), batch.column(2).slice(first, n), pa.array([r[0].astype("<u2").tobytes() for r in rows], pa.binary()), pa.array([r[1].astype("<f4").tobytes() for r in rows], pa.binary())],
+                    ["id", "y", "at", "x"],
                 )
 
     bound_batches(docs.sparkSession)
     picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    table = picked.select("text", "_y").mapInArrow(run, "y int, at binary, x binary").toArrow()
+    table = learning_rows(picked.select("text", F.col("_id").cast("long").alias("id"), "_y").mapInArrow(run, "id long, y int, at binary, x binary"), "toxicity", most_bytes)
     raw = sorted(zip(table["y"].to_pylist(), table["at"].to_pylist(), table["x"].to_pylist(), strict=True))
     del table
-    return learn([(np.frombuffer(a, "<u2"), np.frombuffer(x, "<f2"), y) for y, a, x in raw])
-
-
+    return learn([(np.frombuffer(a, "<u2"), np.frombuffer(x, "<f4"), y) for y, a, x in raw])
 
 
 def scores(texts: pa.Array, model) -> np.ndarray:

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from surfaceworks.llm import quality, rules, toxicity
+from surfaceworks.llm.base import learning_rows
 from surfaceworks.llm.queries import QUERIES
 
 DATA = "/root/testdata/sf0.1"
@@ -122,3 +123,53 @@ def test_held_out_verdicts_of_the_rules(spark):
     good, bad = [r for r in rows if r.quality == 1 and not r.base_failed], [r for r in rows if r.quality == 0]
     assert learned and len(good) > 50 and len(bad) > 50
     assert sum(r.kept for r in good) >= 0.95 * len(good) and sum(not r.kept for r in bad) >= 0.8 * len(bad)
+
+
+def test_ftrl_by_a_plain_loop():
+    """One coordinate after the other, with the update written out."""
+    r = np.random.default_rng(5)
+    rows = [(np.unique(r.integers(0, 40, 6)), None, int(r.random() < 0.5)) for _ in range(30)]
+    rows = [(at, r.random(len(at)), y) for at, _, y in rows]
+    weights, bias = quality.learn(rows, epochs=3)
+    import inspect
+
+    p = {k: v.default for k, v in inspect.signature(quality.learn).parameters.items() if v.default is not inspect.Parameter.empty}
+    z, n = {}, {}
+
+    def weight(i):
+        l1 = p["l1"]
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((p["beta"] + math.sqrt(n.get(i, 0.0))) / p["alpha"] + p["l2"])
+
+    rng = np.random.default_rng(p["seed"])
+    for _ in range(3):
+        for k in rng.permutation(len(rows)):
+            at, x, y = rows[k]
+            pairs = [*zip(at.tolist(), x.tolist(), strict=True), (quality.SIZE, 1.0)]
+            w = {i: weight(i) for i, _ in pairs}
+            error = 1 / (1 + math.exp(-sum(w[i] * v for i, v in pairs))) - y
+            for i, v in pairs:
+                g = error * v
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / p["alpha"]
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    assert bias == pytest.approx(weight(quality.SIZE), rel=1e-9)
+    assert weights[:40].tolist() == pytest.approx([weight(i) for i in range(40)], rel=1e-5, abs=1e-9) and not weights[40:].any()
+
+
+def test_samples_have_a_bound_in_bytes_and_a_row_for_each_id(spark):
+    rows = [(i, i % 2, b"a" * 100, b"b" * (50 + i)) for i in range(40)] + [(3, 1, b"c" * 10, b"d")] * 3
+    features = spark.createDataFrame(rows, "id long, y int, at binary, x binary")
+    whole = learning_rows(features, "t")
+    assert whole.num_rows == 40
+    some = learning_rows(features.repartition(5), "t", 2000)
+    assert 8 < some.num_rows < 15 and sum(len(a) + len(x) for a, x in zip(some["at"].to_pylist(), some["x"].to_pylist(), strict=True)) <= 2000
+    assert learning_rows(features.limit(0), "t").num_rows == 0
+
+
+def test_a_common_word_keeps_its_weight_in_a_long_text(spark):
+    """A share of one in 10^6 is learned from as it is."""
+    docs = spark.createDataFrame([(i, "scum " + "fine " * 300_000 if i else "fine " * 10) for i in range(2)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert np.isfinite(model[0]).all() and toxicity.scores(pa.array(["scum"]), model)[0] > 0.5
