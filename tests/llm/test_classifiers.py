@@ -166,10 +166,3 @@ def test_samples_have_a_bound_in_bytes_and_a_row_for_each_id(spark):
     assert 8 < some.num_rows < 15 and sum(len(a) + len(x) for a, x in zip(some["at"].to_pylist(), some["x"].to_pylist(), strict=True)) <= 2000
     assert learning_rows(features.limit(0), "t").num_rows == 0
 
-
-def test_a_common_word_keeps_its_weight_in_a_long_text(spark):
-    """A share of one in 10^6 is learned from as it is."""
-    docs = spark.createDataFrame([(i, "scum " + "fine " * 300_000 if i else "fine " * 10) for i in range(2)], "doc_id long, text string")
-    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
-    model = toxicity.fit(docs, labels)
-    assert np.isfinite(model[0]).all() and toxicity.scores(pa.array(["scum"]), model)[0] > 0.5
