@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import TASK_SERVERS, TRANSCRIPT_TASKS
 from ..functions import figures
+from .medians import MOST_ROWS, medians
 
 KEY = ("suite_version", "server", "client", "task", "trial")
 CELL = ("suite_version", "server", "client", "task")
@@ -18,14 +19,22 @@ def last_of_each(trials: DataFrame, key=KEY, order: str = "line_no") -> DataFram
     return trials.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def distribution(c: Column, name: str) -> list[Column]:
-    """n, exact median, min and max of what isn't null."""
-    return [F.count(c).alias(f"{name}_n"), F.median(c).alias(f"{name}_median"), F.min(c).alias(f"{name}_min"), F.max(c).alias(f"{name}_max")]
-
-
-def cells(trials: DataFrame, measures: tuple[str, ...], key=CELL) -> DataFrame:
+def cells(trials: DataFrame, measures: tuple[str, ...], key=CELL, most_rows: int = MOST_ROWS) -> DataFrame:
+    """Per cell trials, successes, failures, and of each measure what isn't null: _n, _median (exact, whatever the cell's size), _min, _max. Runs jobs."""
     success = F.coalesce(F.col("success"), F.lit(False))
-    return trials.groupBy(*key).agg(F.count("*").alias("trials"), F.count_if(success).alias("successes"), F.count_if(~success).alias("failures"), *[x for m in measures for x in distribution(F.col(m), m)])
+    spread = [x for m in measures for x in (F.count(m).alias(f"{m}_n"), F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max"))]
+    counts = [F.count("*").alias("trials"), F.count_if(success).alias("successes"), F.count_if(~success).alias("failures")]
+    if (trials.groupBy(*key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= most_rows:
+        out = trials.groupBy(*key).agg(*counts, *spread, *[F.median(m).alias(f"{m}_median") for m in measures])
+    else:
+        out = trials.groupBy(*key).agg(*counts, *spread)
+        for m in measures:
+            middle = medians(trials, list(key), m, most_rows).select(*[F.col(k).alias(f"of_{k}") for k in key], F.col("median").alias(f"{m}_median"))
+            same = F.lit(True)
+            for k in key:
+                same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+            out = out.join(middle, same, "left").drop(*[f"of_{k}" for k in key])
+    return out.select(*key, "trials", "successes", "failures", *[f"{m}_{c}" for m in measures for c in ("n", "median", "min", "max")])
 
 
 def client_reported_error(valid: Column, client: Column, error: Column) -> Column:
