@@ -16,9 +16,10 @@ empty ones than that is dealt again with another seed, as is a partner like it.
 
 Within tiles, bitmaps of the hashed shingles bound the overlap from above: a bit that only one set
 has stands for a shingle that only this set has. Pairs that pass are compared exactly, as sorted
-arrays. Equal sets are one node from the start. Each set is compared with one other of its tiles
-first, and the links found make components; only pairs of a tile in different components follow. So
-a group of near copies costs about one comparison for each member and not one for each pair. A tile
+arrays. Equal sets are one node from the start. Each set is compared with one other first, the first member of a tile that it
+shares most tiles with, and the links found make components; a few rounds more compare sets outside a
+tile's largest component with one of it, and only pairs of a tile in different components follow. So
+a group of near copies costs a few comparisons for each member and not one for each pair. A tile
 that still holds many components, as parts from a passage that many texts share do, is dealt again
 by parts under another seed: a similar pair in it has an equal part there too.
 """
@@ -43,6 +44,8 @@ SEEDS = 4
 CROWDED = 512
 #: It is dealt again so often at most, and no more once that leaves more than this part of the pairs.
 REDEALS, WORTH = 4, 0.7
+#: So often sets outside a tile's largest component are compared with one of it before all that is left is.
+ROUNDS = 3
 #: The largest size in a band, in times the smallest.
 BAND = 1.5
 #: Bytes of text whose prints a bucket holds, about.
@@ -415,17 +418,39 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         return stash.put(_exact(full.select("a", "b", "sa", "sb"), num, den))
 
-    hubs = shared.where("id <> hub").groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    near = hubs.join(side("a", maps), "a").join(side("b", maps), "b").where(_can_link(num, den)).select("a", "b").distinct()
-    links = linked(near)
+    # of the first documents of its tiles, each set is compared with the one that it shares most tiles with
+    def closest(pairs: DataFrame) -> DataFrame:
+        """Of (id, hub), once for each tile, (a, b): each id b with its most frequent hub a, of equals the smallest."""
+        counted = pairs.groupBy("id", "hub").agg(F.count("*").alias("n"))
+        return counted.groupBy("id").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+
+    def that_can(pairs: DataFrame) -> DataFrame:
+        return pairs.join(side("a", maps), "a").join(side("b", maps), "b").where(_can_link(num, den)).select("a", "b").distinct()
+
+    hubs = stash.put(closest(shared.where("id <> hub").select("id", "hub")))
+    links = linked(that_can(hubs))
 
     # what is left: pairs of a tile that those links don't connect
-    so_far = stash.put(components(spark, links, stash))
-    label = F.coalesce(F.col("component"), F.col("id")).alias("component")
-    of_tile = shared.select("key", "id").join(so_far, "id", "left").select("key", "id", label)
-    open_tiles = of_tile.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = stash.put(of_tile.join(open_tiles, "key", "left_semi"))
+    def opened(tiled: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(components so far, (key, id, component) of the tiles that hold several)."""
+        so_far = stash.put(components(spark, links, stash))
+        of_tile = tiled.select("key", "id").join(so_far, "id", "left").select("key", "id", F.coalesce(F.col("component"), F.col("id")).alias("component"))
+        several = of_tile.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        return so_far, stash.put(of_tile.join(several, "key", "left_semi"))
+
+    so_far, left = opened(shared)
     stash.drop(shared)
+    for _ in range(ROUNDS):
+        # sets outside a tile's largest component meet one of it, again the one that they share most tiles with
+        mains = left.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("id").alias("first")).groupBy("key").agg(F.max_by(F.struct("component", "first"), F.struct("n", "component")).alias("main"))
+        outside = left.join(mains, "key").where("component <> main.component").select("id", F.col("main.first").alias("hub"))
+        next_hubs = stash.put(closest(outside.join(hubs.select(F.col("b").alias("id"), F.col("a").alias("hub")), ["id", "hub"], "left_anti")))
+        more = linked(that_can(next_hubs))
+        if not more.limit(1).count():
+            break
+        links = stash.put(so_far.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more))
+        hubs = hubs.unionByName(next_hubs)
+        so_far, left = opened(left)
     cost = F.col("members") * (F.col("members") - F.col("most"))
     for seed in range(SEEDS, SEEDS + REDEALS):
         crowd = stash.put(_tiles(left).where(F.col("members") - F.col("most") > crowded))
