@@ -170,3 +170,28 @@ def matrix(tasks: DataFrame, n: int) -> DataFrame:
 def unions(trials: DataFrame, column: str, key=CELL) -> DataFrame:
     """Sorted distinct members of an array column in each cell."""
     return trials.select(*key, F.explode(column).alias("x")).distinct().groupBy(*key).agg(F.array_sort(F.collect_list("x")).alias(column))
+
+
+def merged(state: DataFrame | None, batch: DataFrame, key=KEY, order: str = "line_no") -> DataFrame:
+    """The trials that count after a batch: the last of each, whichever batch it came with. ``state`` is what came out before.
+
+    Batches may come in any order and more than once; a trial that a later line supersedes leaves the state.
+    """
+    return last_of_each(batch if state is None else state.unionByName(batch), key, order)
+
+
+def refreshed(cells_: DataFrame | None, state: DataFrame, batch: DataFrame, roll, key=CELL) -> DataFrame:
+    """Cells after a batch: those that it touches rolled up anew by ``roll(trials)`` from the state, the others as they were.
+
+    ``state`` is what ``merged`` gave for the batch. Work follows the cells that a batch touches, not all trials.
+    """
+    touched = batch.select(*[F.col(k).alias(f"_{k}") for k in key]).distinct()
+
+    def same(rows: DataFrame):
+        out = F.lit(True)
+        for k in key:
+            out = out & rows[k].eqNullSafe(touched[f"_{k}"])
+        return out
+
+    fresh = roll(state.join(touched, same(state), "left_semi"))
+    return fresh if cells_ is None else cells_.join(touched, same(cells_), "left_anti").unionByName(fresh)

@@ -1,3 +1,4 @@
+import itertools
 import random
 import statistics
 
@@ -33,3 +34,21 @@ def test_cells_alike_on_both_paths(spark):
     one, two = (sorted(map(str, trials.cells(df, ("chars",), most_rows=k).collect())) for k in (10**9, 10))
     assert one == two and len(one) == 6
     assert medians(df.limit(0), ["server"], "chars", most_rows=-1).count() == 0
+
+
+def test_rollups_kept_up_to_date_equal_one_batch(spark):
+    """Three batches in any order, one of them twice, with trials that supersede others."""
+    r = random.Random(8)
+    rows = [("1", r.choice(["a", "b", None]), "c", r.randint(0, 2), r.randint(0, 4), line, r.choice([True, False, None]), r.choice([None, r.randint(0, 99)])) for line in range(60)]
+    schema = "suite_version string, server string, client string, task int, trial int, line_no long, success boolean, chars long"
+    roll = lambda t: trials.cells(t, ("chars",))
+    frame = lambda some: spark.createDataFrame(some, schema).coalesce(1)
+    want = sorted(map(str, roll(trials.last_of_each(frame(rows))).collect()))
+    parts = [rows[:20], rows[20:40], rows[40:]]
+    for order in list(itertools.permutations(parts))[::2]:
+        state = cells = None
+        for batch in [*order, order[0]]:
+            state = spark.createDataFrame(trials.merged(state, frame(batch)).collect(), schema).coalesce(1)
+            out = trials.refreshed(cells, state, frame(batch), roll)
+            cells = spark.createDataFrame(out.collect(), out.schema).coalesce(1)
+        assert sorted(map(str, cells.collect())) == want
