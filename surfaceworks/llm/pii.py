@@ -199,4 +199,4 @@ def digest(found: DataFrame) -> DataFrame:
     """Counts and the digest of the base kinds, how many spans there are of any kind, and all spans as a string."""
     base = [k.name for k in BASE]
     counts = [F.size(_of_kind(k)).cast("long").alias(f"n_{k}") for k in base]
-    return found.select("doc_id", *counts, F.size("spans").cast("long").alias("n_spans"), F.sha2(listed(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
