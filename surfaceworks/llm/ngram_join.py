@@ -17,7 +17,7 @@ empty ones than that is dealt again with another seed, as is a partner like it.
 Within tiles, bitmaps of the hashed shingles bound the overlap from above: a bit that only one set
 has stands for a shingle that only this set has. Pairs that pass are compared exactly, as sorted
 arrays. Equal sets are one node from the start. Each set is compared with one other first, the first member of a tile that it
-shares most tiles with, and the links found make components; a few rounds more compare sets outside a
+shares most tiles with, and the links found make components; a round more compares sets outside a
 tile's largest component with one of it, and only pairs of a tile in different components follow. So
 a group of near copies costs a few comparisons for each member and not one for each pair. A tile
 that still holds many components, as parts from a passage that many texts share do, is dealt again
@@ -45,7 +45,7 @@ CROWDED = 512
 #: It is dealt again so often at most, and no more once that leaves more than this part of the pairs.
 REDEALS, WORTH = 4, 0.7
 #: So often sets outside a tile's largest component are compared with one of it before all that is left is.
-ROUNDS = 3
+ROUNDS = 1
 #: The largest size in a band, in times the smallest.
 BAND = 1.5
 #: Bytes of text whose prints a bucket holds, about.
