@@ -12,8 +12,12 @@ from ..stash import held
 
 
 def chosen(stacks: DataFrame, servers: DataFrame) -> DataFrame:
-    """Stacks (stack, server, place) with the servers' status, total and n_tools; unknown servers go."""
-    return stacks.join(servers, "server")
+    """Stacks (stack, server, place) with the servers' status, total and n_tools; unknown servers go.
+
+    Rows are dealt by stack here, before the modes treble them, and into a fixed number of parts, as many as the session's
+    shuffles have: small in bytes, they would be put together into few tasks with many stacks each.
+    """
+    return stacks.join(servers, "server").repartition(int(stacks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "stack")
 
 
 def by_mode(rows: DataFrame, run_date: str, model: str = MODELS[0]) -> DataFrame:
