@@ -24,10 +24,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 #: Bytes of an Arrow batch on its way to a Python worker, at most: long texts would fill one of any size.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 #: Rows in a slice of Arrow text that is worked on at once are bounded by this many bytes.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 # --------------------------------------------------------------------------- connected components
@@ -38,7 +38,7 @@ def components(spark: SparkSession, links: DataFrame, stash: Stash, max_rounds:
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): every round is two
     aggregations and two joins over the links, which never grow in number, and each round's links
-    are stashed. Self links, repeated links and links with a null end are ignored; no links give an
+    are stashed. Rounds end when all components are stars. Self links, repeated links and links with a null end are ignored; no links give an
     empty table. Returns (id, component). Runs jobs.
     """
     edges = stash.put(
@@ -46,14 +46,18 @@ def components(spark: SparkSession, links: DataFrame, stash: Stash, max_rounds:
         .distinct()
     )
 
-    def mark(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+    def both_ways(df: DataFrame) -> DataFrame:
+        return df.unionByName(df.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+    def settled(df: DataFrame) -> bool:
+        """Whether each end has only larger neighbours or one: then a component is a star around its smallest id."""
+        ends = both_ways(df).groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        return not ends.agg(F.count(F.when((F.col("m") < F.col("u")) & (F.col("n") > 1), 1))).first()[0]
 
-    seen = mark(edges)
     for _ in range(max_rounds):
-        if not seen[0]:
+        if settled(edges):
             break
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = both_ways(edges)
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -64,12 +68,8 @@ def components(spark: SparkSession, links: DataFrame, stash: Stash, max_rounds:
             .distinct()
         )
         after = stash.put(small)
-        now = mark(after)
         stash.drop(edges)
         edges = after
-        if now == seen:
-            break
-        seen = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(
@@ -188,7 +188,7 @@ class ChunkEncoder:
     piece or chunk. A text that could hold an added token, or any other character, isn't cut.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 1 << 16):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

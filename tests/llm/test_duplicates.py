@@ -183,3 +183,28 @@ def test_crowded_tiles_are_dealt_again(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [{r.doc_id: r.component_id for r in ngram_join.join(docs, crowded=c).collect()} for c in (0, 10**9)]
     assert got[0] == got[1] and got[0][121] == got[0][120]
+
+
+def test_a_pair_that_shares_many_tiles_is_made_once(spark):
+    """Each pair of four sets shares all of 40 tiles, and a fifth set one tile with each of them."""
+    left = spark.createDataFrame([(k, i, i) for k in range(40) for i in range(4)] + [(100 + i, x, x) for i in range(4) for x in (i, 9)], "key long, id long, component long")
+    bits = [0] * (ngram_join.BITS // 64)
+    maps = spark.createDataFrame([(i, 10, 0, *bits) for i in (0, 1, 2, 3, 9)], f"id long, n long, ones long, {', '.join(f'b{i} long' for i in range(len(bits)))}")
+    tiles = ngram_join._tiles(left).select("key", "members", "main")
+    got = [tuple(sorted((r.a, r.b))) for r in ngram_join._pairs(left, tiles, maps, 80, 100).collect()]
+    assert sorted(got) == [(a, b) for a in range(4) for b in (*range(a + 1, 4), 9)]
+
+
+def test_texts_with_a_passage_in_common_link_as_all_pairs_do(spark):
+    rng, passage = random.Random(8), [f"p{i}" for i in range(300)]
+    rows = [(i, " ".join([*passage[i % 7 :], *(f"w{rng.randrange(40)}" for _ in range(20 + i * 2 % 90))])) for i in range(120)]
+    s = sets(rows, 5)
+    linked = [(a, b) for a in s for b in s if a < b and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.join(docs, words=5, num=80, den=100).collect()} == roots(s, linked)
+
+
+def test_stars_are_components_without_a_round(spark):
+    stash = Stash(spark, "t")
+    got = components(spark, spark.createDataFrame([(1, i) for i in range(2, 40)] + [(70, 60)], "a long, b long"), stash)
+    assert stash.n == 1 and {(r.id, r.component) for r in got.collect()} == {(i, 1) for i in range(1, 40)} | {(60, 60), (70, 60)}
