@@ -8,6 +8,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
+import re
 import struct
 import zlib
 
@@ -134,7 +135,7 @@ def chunked_words(texts: pa.Array):
     offsets = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0]) if len(offsets) else lists.values
     coded = flat.dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), offsets - offsets[0]
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False), offsets - offsets[0]
 
 
 def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -175,6 +176,8 @@ def learning_rows(features: DataFrame, label: str, most_bytes: int = SAMPLE_BYTE
 #: Texts of these characters alone are lower-cased and cut into pieces here; other texts go to the
 #: library chunk by chunk. Both as RE2 reads them.
 PLAIN = r"\A[\x09-\x0d\x20-~À-ÖØ-öø-ÿ]*\z"
+LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+ONE_PIECE = re.compile(f"[{LETTERS}]+").fullmatch
 NOT_LETTERS = r"('s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\x09-\x0d\x20a-z0-9ß-öø-ÿ]+)"
 
 
@@ -182,10 +185,14 @@ class ChunkEncoder:
     """Token ids of texts with a tokenizers file whose pieces never hold ASCII white space.
 
     Such a tokenizer gives a text the concatenation of what it gives the chunks between white
-    space, so each distinct chunk of a slice is encoded once and remembered. In texts of plain
+    space, so each distinct chunk of a slice is encoded once and remembered: at most ``most`` of
+    them, of which those not used lately go. In texts of plain
     Latin-1 letters, digits and ASCII signs the chunks are first lower-cased and cut where the file
     cuts them, since those pieces repeat far more often. The ids come from the library for every
     piece or chunk. A text that could hold an added token, or any other character, isn't cut.
+
+    A chunk of lower-case letters alone is one piece, so it goes straight to the library's model: what
+    normalises and cuts texts costs several times as much. Whether the file treats letters so is tried first.
     """
 
     def __init__(self, path: str, most: int = 1 << 16):
@@ -194,21 +201,57 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # what was known when ``known`` was last full
         self.most = most
+        self.model, self.letters = self.tokenizer.model, self._letters()
+
+    def _letters(self) -> dict[int, str] | None:
+        """What the model gets for each of ``LETTERS`` (ASCII ones as they are), if the file makes one piece of a row of them; else None."""
+
+        def pieces(text: str) -> list[str]:
+            normalizer, cutter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+            text = normalizer.normalize_str(text) if normalizer else text
+            return [p for p, _ in cutter.pre_tokenize_str(text)] if cutter else [text]
+
+        given = [pieces(c) for c in LETTERS]
+        if any(len(x) != 1 or c.isascii() and x != [c] for c, x in zip(LETTERS, given, strict=True)):
+            return None
+        rows = [LETTERS, LETTERS[::-1]]
+        if [pieces(r) for r in rows] != [["".join(given[LETTERS.index(c)][0] for c in r)] for r in rows]:
+            return None
+        return {ord(c): x for c, (x,) in zip(LETTERS, given, strict=True)}
+
+    def _encoded(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk from the library."""
+        out: list[bytes] = [b""] * len(chunks)
+        apart, tokenize, letters = [], self.model.tokenize, self.letters
+        for i, chunk in enumerate(chunks):
+            if letters and ONE_PIECE(chunk):
+                ids = [t.id for t in tokenize(chunk if chunk.isascii() else chunk.translate(letters))]
+                out[i] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                apart.append(i)
+        for at in range(0, len(apart), 4096):
+            some = apart[at : at + 4096]
+            for i, x in zip(some, self.tokenizer.encode_batch_fast([chunks[i] for i in some], add_special_tokens=False), strict=True):
+                out[i] = struct.pack(f"<{len(x.ids)}I", *x.ids)
+        return out
 
     def _look_up(self, chunks: list[str]) -> list[bytes]:
-        known = self.known
-        out = [known.get(c) for c in chunks]
+        out = [self.known.get(c) for c in chunks]
         missing = [i for i, x in enumerate(out) if x is None]
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            got = self.tokenizer.encode_batch_fast([chunks[i] for i in some], add_special_tokens=False)
-            for i, x in zip(some, got, strict=True):
-                ids = x.ids
-                out[i] = struct.pack(f"<{len(ids)}I", *ids)
-                if len(known) < self.most:
-                    known[chunks[i]] = out[i]
+        new = []
+        for i in missing:
+            out[i] = self.before.get(chunks[i])
+            if out[i] is None:
+                new.append(i)
+        for i, x in zip(new, self._encoded([chunks[i] for i in new]), strict=True):
+            out[i] = x
+        for i in missing:
+            if 2 * len(self.known) >= self.most:
+                self.before, self.known = self.known, {}
+            self.known[chunks[i]] = out[i]
         return out
 
     @staticmethod

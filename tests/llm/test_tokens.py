@@ -8,7 +8,7 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 from surfaceworks.llm import packing, token_files
-from surfaceworks.llm.base import encoder, slices
+from surfaceworks.llm.base import LETTERS, ChunkEncoder, encoder, slices
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
@@ -43,6 +43,38 @@ def test_encoder_agrees_with_the_library_on_signs():
     assert not bad, bad[:3]
 
 
+class Counting:
+    """A tokenizer that remembers what it got as texts."""
+
+    def __init__(self):
+        self.got = []
+
+    def encode_batch_fast(self, texts, **how):
+        self.got += texts
+        return TOKENIZER.encode_batch_fast(texts, **how)
+
+
+def test_words_of_letters_skip_what_cuts_texts():
+    r, e = random.Random(6), ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    e.tokenizer = Counting()
+    texts = [" ".join("".join(r.choices(LETTERS.replace("þ", "þÞÀ"), k=r.randint(1, 12))) for _ in range(20)) for _ in range(2_000)]
+    ids, counts = e.encode(pa.array(texts), 1)
+    assert not e.tokenizer.got
+    ends = np.cumsum(counts)
+    assert all(ids[a:b].tolist() == ids_of(t) for t, a, b in zip(texts, ends - counts, ends, strict=True))
+
+
+def test_words_used_lately_stay_remembered():
+    e = ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"), most=40)
+    e.encode(pa.array([" ".join(f"日{i}" for i in range(100))]))  # fills it
+    e.tokenizer = Counting()
+    for i in range(0, 100, 5):
+        text = " ".join(["月", *(f"火{k}" for k in range(i, i + 5))])
+        ids, _ = e.encode(pa.array([text]))
+        assert ids.tolist() == ids_of(text)[:-1]
+    assert e.tokenizer.got.count("月") == 1 and len(e.known) + len(e.before) <= 40
+
+
 def test_packing_covers_each_id_once(odd, empty):
     rows = packing.pack(odd, length=64).orderBy("sequence_id", "offset").collect()
     for s, group in itertools.groupby(rows, lambda r: r.sequence_id):
