@@ -8,6 +8,7 @@ that repeats the word before it. A score is the logistic of one sparse dot produ
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import SAMPLE_BYTES, bound_batches, chunked_words, learning_rows, only, remembers, segment_sums, slices
+from .base import SAMPLE_BYTES, bound_batches, chunked_words, give_back, learning_rows, only, remembers, segment_sums, slices
 
 SIZE = 1 << 18
 #: Labelled rows that the weights are learned from, at most: those with the smallest hash of the id.
@@ -112,6 +113,14 @@ def learn(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 4, alpha
     return w[:-1].astype(np.float32), float(w[-1])
 
 
+def _learned(table: pa.Table):
+    """``learn`` on rows (y, at, x), whatever their order. The rows stay views of the table, so the driver holds them once."""
+    rows = [(np.frombuffer(a.as_buffer(), "<u4"), np.frombuffer(x.as_buffer(), "<f4"), y) for y, a, x in zip(table["y"].to_pylist(), table["at"], table["x"], strict=True)]
+    rows.sort(key=lambda r: (len(r[0]), r[2]))
+    alike = itertools.groupby(rows, lambda r: (len(r[0]), r[2]))
+    return learn([r for _, some in alike for r in sorted(some, key=lambda r: r[0].tobytes())])
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable=None, most_rows: int = MOST_ROWS, most_bytes: int = SAMPLE_BYTES):
     """Learn from at most ``most_rows`` labelled documents that ``usable`` (a condition on doc_id) admits, of ``most_bytes`` of features at most. Runs jobs.
 
@@ -138,9 +147,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, most_rows: int = MOST_R
     bound_batches(docs.sparkSession)
     picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     table = learning_rows(picked.select("text", F.col("_id").cast("long").alias("id"), "_y").mapInArrow(run, "id long, y int, at binary, x binary"), "quality", most_bytes)
-    rows = [(np.frombuffer(a.as_buffer(), "<u4").astype(np.int64), np.frombuffer(x.as_buffer(), "<f4").astype(float), y) for y, a, x in zip(table["y"].to_pylist(), table["at"], table["x"], strict=True)]
-    rows.sort(key=lambda r: (len(r[0]), r[2], r[0].tobytes()))  # the order of the partitions doesn't matter
-    return learn(rows)
+    model = _learned(table)
+    del table
+    give_back()
+    return model
 
 
 def scores(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:

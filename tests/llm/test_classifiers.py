@@ -1,6 +1,7 @@
 import math
 import os
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -166,3 +167,21 @@ def test_samples_have_a_bound_in_bytes_and_a_row_for_each_id(spark):
     assert 8 < some.num_rows < 15 and sum(len(a) + len(x) for a, x in zip(some["at"].to_pylist(), some["x"].to_pylist(), strict=True)) <= 2000
     assert learning_rows(features.limit(0), "t").num_rows == 0
 
+
+
+def test_the_driver_holds_the_sample_of_quality_once():
+    """The same model as from copies of the rows in 64 bits, in less memory than the sample itself takes."""
+    r = np.random.default_rng(3)
+    sizes = r.integers(40, 44, 240) * 500
+    rows = [(np.sort(r.choice(quality.SIZE, n, replace=False)), r.random(n).astype("<f4"), int(r.integers(2))) for n in sizes]
+    rows += [(at, x, y) for at, x, y in rows[:5]]
+    table = pa.table({"y": pa.array([y for *_, y in rows], pa.int32()), "at": [at.astype("<u4").tobytes() for at, *_ in rows], "x": [x.tobytes() for _, x, _ in rows]})
+    tracemalloc.start()
+    weights, bias = quality._learned(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    held = 10 * 8 * quality.SIZE  # of the learner, whatever the sample
+    assert peak < held + table.nbytes // 2
+    whole = sorted(((at.astype(np.int64), x.astype(float), y) for at, x, y in rows), key=lambda q: (len(q[0]), q[2], q[0].tobytes()))
+    want, want_bias = quality.learn(whole)
+    assert bias == want_bias and np.array_equal(weights, want)
