@@ -208,3 +208,33 @@ def test_stars_are_components_without_a_round(spark):
     stash = Stash(spark, "t")
     got = components(spark, spark.createDataFrame([(1, i) for i in range(2, 40)] + [(70, 60)], "a long, b long"), stash)
     assert stash.n == 1 and {(r.id, r.component) for r in got.collect()} == {(i, 1) for i in range(1, 40)} | {(60, 60), (70, 60)}
+
+
+def test_near_copies_of_one_text_are_not_linked_by_all_pairs(spark, monkeypatch):
+    """The smallest ids have many changes and link with none; all others link with each other, by a few comparisons for each."""
+    rng, base, rows = random.Random(12), [f"w{i}" for i in range(204)], []
+    for i in range(260):
+        t = list(base)
+        for at in rng.sample(range(5, 199, 9), 4 if i < 60 else 1):
+            t[at] = f"x{i}.{at}"
+        rows.append((i, " ".join(t)))
+    s = sets(rows, 5)
+    linked = [(a, b) for a, b in itertools.combinations(s, 2) if 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])]
+    seen = []
+    monkeypatch.setattr(ngram_join, "components", lambda session, links, stash: seen.append(links.count()) or components(session, links, stash))
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), words=5, num=80, den=100)
+    assert {r.doc_id: r.component_id for r in got.collect()} == roots(s, linked)
+    assert len(linked) > 19_000 and max(seen) < 12 * len(rows)
+
+
+def test_parts_of_a_tile_s_band_find_a_similar_pair_again():
+    rng, found, band = np.random.default_rng(3), 0, np.uint64(ngram_join.BAND_BITS)
+    for n in (12, 40, 90, 300):
+        for k in range(40):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            b = np.sort(rng.permutation(a)[: -(-len(a) * (80 + k % 20) // 100)])
+            shared = np.intersect1d(ngram_join.tile_keys(a, 80, 100), ngram_join.tile_keys(b, 80, 100))
+            again = np.intersect1d(*(ngram_join.tile_keys(x, 80, 100, (ngram_join.SEEDS,)) for x in (a, b)))
+            found += len(shared) > 0
+            assert set(shared & band) <= set(again & band)
+    assert found == 160
