@@ -37,3 +37,26 @@ def test_flagged_without_listing_pairs(spark):
 def test_one_id_under_two_texts_is_no_pair(spark):
     t = surface(spark, [("s", 1, "a", None, "reads files of a folder today"), ("s", 1, "a", None, "reads files of a folder soon"), ("s", 2, "b", None, "else entirely")])
     assert not hygiene.flagged(t).count() and not hygiene.similar(t).count()
+
+
+def test_sets_that_differ_in_their_own_words_are_compared_once(spark, monkeypatch):
+    """600 tools of two texts and a number: the cells get a set for each text, not for each tool."""
+    met = []
+    monkeypatch.setattr(cells, "of_pairs", lambda rows, key, f=cells.of_pairs: met.append(rows.count()) or f(rows, key))
+    text = F.when(F.col("id") % 3 == 0, "reads files of one folder").otherwise("copies long lists between remote stores")
+    t = spark.range(600).select(F.lit("s").alias("server"), F.col("id").alias("tool"), F.concat(F.lit("t_"), F.col("id")).alias("name"), F.concat(text, F.lit(" x"), 100 + F.col("id")).alias("descriptor"))
+    assert hygiene.flagged(t).count() == 600 and met == [2]
+
+
+def test_flags_of_own_words_and_repeated_tools(spark):
+    """Few common words and some of their own, ids under several texts, equal sets: as all pairs tell."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(160):
+        words = rng.sample(["alpha", "beta", "gamma", "delta", "kappa", "sigma"], rng.choice((3, 4, 5))) + [f"own{i}x{k}" for k in range(rng.choice((0, 0, 1, 2)))]
+        rows.append((rng.choice("pq"), i if rng.random() < 0.7 else rng.randrange(6), f"n{i}", None, " ".join(words)))
+    rows += [("w", 1, "a", None, "alpha beta gamma first"), ("w", 1, "b", None, "alpha beta gamma second"), ("w", 2, "c", None, "alpha beta gamma other words too here")]
+    t = surface(spark, rows)
+    sets = [(r.server, r.tool, r.name, set(r.set)) for r in hygiene.token_sets(t).collect()]
+    want = {(s, n) for s, a, n, x in sets for r, b, _, y in sets if s == r and a != b and len(x & y) >= 0.6 * len(x | y)}
+    assert {(r.server, r.name) for r in hygiene.flagged(t).collect()} == want and 20 < len(want) < len(sets) - 20
